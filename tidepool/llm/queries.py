@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import components, lookalikes
+from tidepool.llm import bytebpe, components, lookalikes
 from tidepool.runtime import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select("group_id", "id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bytebpe.token_ids(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p8_ids)}
 
 ORACLE: dict[str, str] = {}
