@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepool.llm import bytebpe, components, lookalikes
+from tidepool.llm import bytebpe, components, forest, lookalikes
 from tidepool.runtime import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +26,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select("group_id", "id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return forest.similar_pairs(table(spark, d, "mem0"), Scratch(spark, "p6"))
+
+
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id, as a number, is divisible by 50."""
+    asks = F.conv(F.substring("id", 29, 8), 16, 10).cast("bigint") % 50 == 0
+    return forest.nearest(table(spark, d, "mem0"), Scratch(spark, "p6"), asks)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bytebpe.token_ids(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p8_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p6_found, p6_nearest, p8_ids)}
 
 ORACLE: dict[str, str] = {}
