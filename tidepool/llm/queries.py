@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bytebpe, components, forest, lookalikes
+from tidepool.llm import bytebpe, components, crosssplit, forest, lookalikes, neardup
 from tidepool.runtime import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select("group_id", "id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, d, "dream_memory"), Scratch(spark, "p4"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(table(spark, d, "dream_memory"), Scratch(spark, "p4"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.cross_split_pairs(table(spark, d, "dream_memory"), Scratch(spark, "p5"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records of val and test per split and source, and how many lie in train by at least half of their characters."""
+    rows = crosssplit.overlap_fractions(table(spark, d, "dream_memory").dropDuplicates(["id"]), extra=("source",))
+    source = F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("unknown"))
+    share = F.round(F.avg("fraction"), 4)
+    return rows.groupBy("split", source.alias("source")).agg(F.count("*").alias("records"), F.count_if(F.col("fraction") >= 0.5).alias("overlapping"), share.alias("mean_fraction"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return forest.similar_pairs(table(spark, d, "mem0"), Scratch(spark, "p6"))
 
@@ -40,6 +60,6 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bytebpe.token_ids(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p6_found, p6_nearest, p8_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_found, p4_groups, p5_found, p5_report, p6_found, p6_nearest, p8_ids)}
 
 ORACLE: dict[str, str] = {}
