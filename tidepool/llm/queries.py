@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bytebpe, components, crosssplit, forest, lookalikes, neardup
+from tidepool.llm import bytebpe, components, crosssplit, forest, lookalikes, neardup, survivor
 from tidepool.runtime import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,10 +56,25 @@ def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     return forest.nearest(table(spark, d, "mem0"), Scratch(spark, "p6"), asks)
 
 
+def _groups(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
+    """Match groups, written once since several joins read them."""
+    return scratch.save(components.match_groups(table(spark, d, "dedup_log"), scratch), "groups")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark, "p7")
+    return survivor.survivors(table(spark, d, "dream_memory"), table(spark, d, "dedup_log"), _groups(spark, d, scratch), scratch)
+
+
+def p7_records(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark, "p7")
+    return survivor.surviving_records(table(spark, d, "dream_memory"), table(spark, d, "dedup_log"), _groups(spark, d, scratch), scratch)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bytebpe.token_ids(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_found, p4_groups, p5_found, p5_report, p6_found, p6_nearest, p8_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_found, p4_groups, p5_found, p5_report, p6_found, p6_nearest, p7_found, p7_records, p8_ids)}
 
 ORACLE: dict[str, str] = {}
