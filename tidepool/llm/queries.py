@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bytebpe, components, crosssplit, forest, leaks, lookalikes, neardup, survivor
+from tidepool.llm import bytebpe, components, crosssplit, forest, langs, leaks, lookalikes, neardup, survivor
 from tidepool.runtime import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "probe_items"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_found, p4_groups, p5_found, p5_report, p6_found, p6_nearest, p7_found, p7_records, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return langs.mislabelled(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langs.segments(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_found, p4_groups, p5_found, p5_report, p6_found, p6_nearest, p7_found, p7_records, p8_ids, p9_found, p10_found, p10_segments)}
 
 ORACLE: dict[str, str] = {}
