@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bytebpe, components, crosssplit, forest, langs, leaks, lookalikes, neardup, survivor
+from tidepool.llm import bytebpe, components, crosssplit, forest, langs, leaks, lookalikes, neardup, pii, survivor
 from tidepool.runtime import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select("group_id", "id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "dream_memory"), table(spark, d, "name_lexicon"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "dream_memory"), table(spark, d, "name_lexicon"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(table(spark, d, "dream_memory"), Scratch(spark, "p4"))
 
@@ -87,6 +95,6 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langs.segments(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_found, p4_groups, p5_found, p5_report, p6_found, p6_nearest, p7_found, p7_records, p8_ids, p9_found, p10_found, p10_segments)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_report, p6_found, p6_nearest, p7_found, p7_records, p8_ids, p9_found, p10_found, p10_segments)}
 
 ORACLE: dict[str, str] = {}
