@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidepool.functions.text import words
+
+
+def features(text: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Distinct words and trigrams of a text in lower case."""
+    low = text.lower()
+    return frozenset(low.split()), frozenset(low[i : i + 3] for i in range(len(low) - 2))
+
 
-from tidepool.functions.text import combined_similarity, ngrams, words
+def combined(a: tuple[frozenset, frozenset], b: tuple[frozenset, frozenset]) -> float:
+    def jaccard(x: frozenset, y: frozenset) -> float:
+        shared = len(x & y)
+        return shared / (len(x) + len(y) - shared) if x and y else 0.0
+
+    return 0.4 * jaccard(a[0], b[0]) + 0.6 * jaccard(a[1], b[1])
+
+
+@F.pandas_udf(T.DoubleType())
+def combined_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    known = {t: features(t) for t in {*left, *right}}
+    return pd.Series([combined(known[x], known[y]) for x, y in zip(left, right)], dtype="float64")
 
 
 def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -27,20 +51,30 @@ def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_co
     pairs = a.join(b, "word").where(like).select("a", "b").distinct()
     texts = classes.select("lead", "t")
     full = pairs.join(texts.select(F.col("lead").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("lead").alias("b"), F.col("t").alias("tb")), "b")
-    score = combined_similarity(words(F.col("ta")), words(F.col("tb")), ngrams(F.col("ta")), ngrams(F.col("tb")))
-    near = full.select("a", "b", F.round(score, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = full.select("a", "b", F.round(combined_similarity("ta", "tb"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
     twins = classes.where("copies > 1").select(F.col("lead").alias("a"), "t", F.lit(1.0).alias("similarity"))
     members = rows.select(F.col(id_col).alias("b"), F.lower(text_col).alias("t"))
     return near.unionByName(twins.join(members, "t").where("a <> b").select("a", "b", "similarity"))
 
 
 def top_similar(asked: DataFrame, rows: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(query, id, similarity, pos): the k most similar other texts of each asked text. The asked texts are few (a limit of
-    the caller); they are checked to be, and meet all rows in blocks."""
-    q = asked.select(F.col(id_col).alias("query"), F.col(text_col).alias("qt")).limit(1000)
-    q = q.select("query", words(F.col("qt")).alias("qw"), ngrams(F.col("qt")).alias("qg"))
-    r = rows.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"), ngrams(F.col(text_col)).alias("g"))
-    met = r.join(F.broadcast(q), F.col("id") != F.col("query"))
-    scored = met.select("query", "id", F.round(combined_similarity(F.col("w"), F.col("qw"), F.col("g"), F.col("qg")), 6).alias("similarity"))
+    """(query, id, similarity, pos): the k most similar other texts of each asked text. The asked texts are few by a limit
+    of the caller, which is checked; all rows meet them in blocks, and each block hands on k rows for each."""
+    held = asked.select(id_col, text_col).limit(1001).collect()
+    if len(held) > 1000:
+        raise ValueError("top_similar takes at most 1000 asked texts")
+    queries = [(q, features(t)) for q, t in held if t]
+
+    def run(blocks: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            known = [(i, features(t)) for i, t in zip(block.iloc[:, 0], block.iloc[:, 1]) if t]
+            out = []
+            for q, f in queries:
+                best = sorted(((round(combined(f, g), 6), i) for i, g in known if i != q), key=lambda x: (-x[0], x[1]))[:k]
+                out += [(q, i, s) for s, i in best]
+            yield pd.DataFrame(out, columns=["query", "id", "similarity"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    scored = rows.select(id_col, text_col).mapInPandas(run, f"query {kind}, id {kind}, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)

@@ -89,7 +89,7 @@ both("older_newer", """SELECT l.id, CASE WHEN a.created_at <= b.created_at THEN
 both("session_outcome", "SELECT user_id, date_trunc('day', ts) AS day, CASE WHEN bool_or(event_type = 'error') AND NOT bool_or(event_type = 'purchase') THEN 'fail' WHEN bool_or(event_type = 'purchase') AND NOT bool_or(event_type = 'error') THEN 'success' WHEN count(*) >= 3 AND NOT bool_or(event_type IN ('error', 'purchase')) THEN 'mixed' ELSE 'unknown' END AS outcome FROM {events} GROUP BY 1, 2",
      "SELECT user_id, cast(date_trunc('day', ts) AS timestamp) AS day, CASE WHEN bool_or(event_type = 'error') AND NOT bool_or(event_type = 'purchase') THEN 'fail' WHEN bool_or(event_type = 'purchase') AND NOT bool_or(event_type = 'error') THEN 'success' WHEN count(*) >= 3 AND NOT bool_or(event_type IN ('error', 'purchase')) THEN 'mixed' ELSE 'unknown' END AS outcome FROM events GROUP BY 1, 2")
 
-_HASH = "substr(md5(regexp_replace(trim(lower(text)), '[\\t\\n\\x0b\\x0c\\r ]+', ' ', 'g')), 1, 16)"
+_HASH = "substr(md5(regexp_replace(trim(lower(text), ' '), '[\\t\\n\\x0b\\x0c\\r ]+', ' ', 'g')), 1, 16)"
 
 
 @query(f"SELECT {_HASH} AS text_key, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -209,15 +209,15 @@ def valid_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT concat_ws('|', CASE WHEN k <> '' THEN lower(k) END, CASE WHEN p <> '' THEN lower(p) END) AS topic, count(*) AS n, min(id) AS first_id FROM
- (SELECT id, regexp_extract(text, '(?i)\\b(KD|ZL|OPS|MEM|TRK)-\\d+', 1) AS k, regexp_extract(text, '(?i)\\b(srv|tmp|vault|notes|exports)/', 1) AS p FROM flight WHERE text IS NOT NULL) WHERE k <> '' OR p <> '' GROUP BY 1""")
+ (SELECT id, regexp_extract(text, '(?i)(KD|ZL|OPS|MEM|TRK)-[0-9]+', 1) AS k, regexp_extract(text, '(?i)(srv|tmp|vault|notes|exports)/', 1) AS p FROM flight WHERE text IS NOT NULL) WHERE k <> '' OR p <> '' GROUP BY 1""")
 def topic_key_clusters(spark: SparkSession, d: str) -> DataFrame:
-    keyed = memory.in_flight(spark, d).select("id", clusters.topic_key(F.col("text"), (r"(?i)\b(KD|ZL|OPS|MEM|TRK)-\d+", r"(?i)\b(srv|tmp|vault|notes|exports)/")).alias("topic"))
+    keyed = memory.in_flight(spark, d).select("id", clusters.topic_key(F.col("text"), ("(?i)(KD|ZL|OPS|MEM|TRK)-[0-9]+", "(?i)(srv|tmp|vault|notes|exports)/")).alias("topic"))
     return keyed.where("topic <> ''").groupBy("topic").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query()
 def cluster_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.cascade(memory.in_flight(spark, d), (r"(?i)\b(KD|ZL|OPS|MEM|TRK)-\d+",))
+    return clusters.cascade(memory.in_flight(spark, d), ("(?i)(KD|ZL|OPS|MEM|TRK)-[0-9]+",))
 
 
 @query("SELECT session_id, n, days, CASE WHEN best >= 0.65 AND n >= 3 AND days >= 2 THEN 'all_3_gates' ELSE 'partial' END AS gate FROM (SELECT session_id, count(*) AS n, count(DISTINCT substring(created_at, 1, 10)) AS days, max(CASE WHEN importance BETWEEN 0 AND 1 THEN importance END) AS best FROM flight WHERE session_id IS NOT NULL GROUP BY session_id) WHERE n > 1")
@@ -333,7 +333,7 @@ def best_vs_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def vector_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.close_pairs(table(spark, d, "embeddings"), 0.35)
+    return vectors.close_pairs(table(spark, d, "embeddings"), 0.65)
 
 
 # tiers, health, streams

@@ -29,13 +29,13 @@ def _drain(stream: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def incremental(spark: SparkSession, path: str, scratch: Scratch, late: str = "60 days") -> DataFrame:
     """(memory_id, created_at): each memory once, however often it is delivered within the watermark; state older than the
     watermark is dropped, rows without a time are not seen."""
-    rows = _source(spark, path).select(F.col("id").alias("memory_id"), "created_at").where("created_at is not null")
+    rows = _source(spark, path).select(F.col("id").alias("memory_id"), F.col("created_at").cast("timestamp").alias("created_at")).where("created_at is not null")
     return _drain(rows.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["memory_id"]), scratch, "new")
 
 
 def outcomes(spark: SparkSession, path: str, scratch: Scratch, gap: str = "6 hours") -> DataFrame:
     """(user_id, started_at, n, outcome): sessions of events separated by a gap, written once the watermark has passed."""
-    rows = _source(spark, path).select("user_id", "ts", "event_type").withWatermark("ts", "1 hour")
+    rows = _source(spark, path).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark("ts", "1 hour")
     s = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("neg"), F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("pos"))
     outcome = F.when(F.expr("neg = 1 and pos = 0"), "fail").when(F.expr("pos = 1 and neg = 0"), "success").when(F.expr("n >= 3 and neg = 0 and pos = 0"), "mixed").otherwise("unknown")
     return _drain(s.select("user_id", F.col("w.start").alias("started_at"), "n", outcome.alias("outcome")), scratch, "outcomes")
