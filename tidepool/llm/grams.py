@@ -45,15 +45,16 @@ def text_classes(df: DataFrame, scratch: Scratch, id_col: str = "id", text_col:
     raise RuntimeError("text keys collide under every seed")
 
 
-def frequencies(forms: DataFrame, features: Callable[[str], np.ndarray]) -> np.ndarray:
-    """Counters of feature hashes over all texts: slot ``hash % SLOTS`` holds at least the feature's number of texts."""
+def frequencies(forms: DataFrame, features: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+    """Counters of feature hashes over all texts: slot ``hash % SLOTS`` holds at least the feature's number of occurrences.
+    ``features`` gives the hashes of all features of some texts."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            hashes = [features(f) for f in batch.column(0).to_pylist()]
-            if hashes:
-                total += np.bincount((np.concatenate(hashes) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for at in range(0, batch.num_rows, 2_000):
+                hashes = features(batch.column(0).slice(at, 2_000).to_pylist())
+                total += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
 
@@ -76,24 +77,30 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def similarities(forms_a: list[str], forms_b: list[str], threshold: float) -> np.ndarray:
-    """Similarity of each pair, 0 where it is below the threshold. Bit counts of the signatures bound the overlap from
-    above: what one text has more than the other's bits could cover isn't shared. Only pairs that pass the bound are
-    intersected."""
+def signatures(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of sequences, bitmap) of each text; a text that repeats is looked at once."""
     known: dict[str, int] = {}
-    at = np.array([known.setdefault(f, len(known)) for f in (*forms_a, *forms_b)], np.int64).reshape(2, -1)
+    at = np.array([known.setdefault(f, len(known)) for f in forms], np.int64)
     grams = [trigrams(f) for f in known]
     size = np.array([len(g) for g in grams], np.int64)
-    maps = np.array([bitmap(g) for g in grams], np.uint64).reshape(-1, BITMAP // 64)
-    ones = np.bitwise_count(maps).sum(axis=1).astype(np.int64)
-    i, j = at
-    both = np.bitwise_count(maps[i] & maps[j]).sum(axis=1).astype(np.int64)
-    bound = np.minimum(size[i] - ones[i], size[j] - ones[j]) + both
-    bound = np.minimum(bound, np.minimum(size[i], size[j]))
-    out = np.zeros(len(i))
-    for p in np.flatnonzero(bound >= threshold * (size[i] + size[j] - bound)):
-        n = len(np.intersect1d(grams[i[p]], grams[j[p]], assume_unique=True))
-        either = size[i[p]] + size[j[p]] - n
+    return size[at], np.array([bitmap(g) for g in grams], np.uint64).reshape(-1, BITMAP // 64)[at]
+
+
+def may_reach(size_a: np.ndarray, map_a: np.ndarray, size_b: np.ndarray, map_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether bit counts leave the threshold possible: what a text has beyond its ones can at best be shared as well."""
+    ones_a, ones_b, both = (np.bitwise_count(m).sum(axis=1).astype(np.int64) for m in (map_a, map_b, map_a & map_b))
+    bound = np.minimum(np.minimum(size_a - ones_a, size_b - ones_b) + both, np.minimum(size_a, size_b))
+    return bound >= threshold * (size_a + size_b - bound)
+
+
+def similarities(forms_a: list[str], forms_b: list[str], threshold: float) -> np.ndarray:
+    """Similarity of each pair by exact intersection of sorted arrays, 0 where it is below the threshold."""
+    known = {f: trigrams(f) for f in {*forms_a, *forms_b}}
+    out = np.zeros(len(forms_a))
+    for p, (x, y) in enumerate(zip(forms_a, forms_b)):
+        a, b = known[x], known[y]
+        n = len(np.intersect1d(a, b, assume_unique=True))
+        either = len(a) + len(b) - n
         if either and n >= threshold * either:
             out[p] = n / either
     return out
@@ -101,17 +108,34 @@ def similarities(forms_a: list[str], forms_b: list[str], threshold: float) -> np
 
 def checked(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): the pairs of classes whose forms reach the threshold. ``forms``: (cls, form), repeated rows
-    harmless."""
+    harmless. The first text of a pair travels as its signature until the bit counts have spoken."""
     reps = forms.select("cls", "form").dropDuplicates(["cls"])
-    both = pairs.join(reps.select(F.col("cls").alias("a"), F.col("form").alias("fa")), "a").join(reps.select(F.col("cls").alias("b"), F.col("form").alias("fb")), "b")
+    first = reps.select(F.col("cls").alias("a"), F.col("form").alias("fa"))
+    second = reps.select(F.col("cls").alias("b"), F.col("form").alias("fb"))
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, maps = signatures(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size.astype(np.int32)), pa.array([m.tobytes() for m in maps], pa.binary())], ["a", "b", "n", "bits"])
+
+    def bound(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                size, maps = signatures(batch.column(4).to_pylist())
+                other = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+                keep = pa.array(np.flatnonzero(may_reach(batch.column(2).to_numpy().astype(np.int64), other, size, maps, threshold)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = similarities(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold)
-            keep = np.flatnonzero(s > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(s[keep])], ["a", "b", "similarity"])
+            keep = pa.array(np.flatnonzero(s > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(s[s > 0])], ["a", "b", "similarity"])
 
-    return both.select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint, similarity double")
+    signed = pairs.join(first, "a").select("a", "b", "fa").mapInArrow(sign, "a bigint, b bigint, n int, bits binary")
+    left = signed.join(second, "b").select("a", "b", "n", "bits", "fb").mapInArrow(bound, "a bigint, b bigint")
+    both = left.join(first, "a").join(second, "b")
+    return both.select("a", "b", "fa", "fb").mapInArrow(exact, "a bigint, b bigint, similarity double")
 
 
 def id_pairs(classes: DataFrame, members_a: DataFrame, members_b: DataFrame) -> DataFrame:
