@@ -355,3 +355,22 @@ def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return streams.outcomes(spark, f"{d}/events.parquet", Scratch(spark, "stream"))
+
+
+# health, review and recall as statements
+both("hybrid_recall", f"""SELECT id, round((0.5 * 0.5 + 0.3 * least(1.0, 0.3 + 0.1 * power(2.0, -age / 7)) + 0.2 * imp) * CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.25 END, 6) AS score FROM
+ (SELECT f.id, m.tier, CASE WHEN f.importance BETWEEN 0 AND 1 THEN f.importance ELSE 0.5 END AS imp, greatest(0, datediff(DATE '2025-12-31', cast(m.created_at AS date))) AS age FROM {{flight}} f JOIN {{mem}} m ON m.memory_id = f.id)""",
+     """SELECT id, round((0.5 * 0.5 + 0.3 * least(1.0, 0.3 + 0.1 * power(2.0, -age / 7)) + 0.2 * imp) * CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.25 END, 6) AS score FROM
+ (SELECT f.id, m.tier, CASE WHEN f.importance BETWEEN 0 AND 1 THEN f.importance ELSE 0.5 END AS imp, greatest(0, datediff('day', cast(m.created_at AS date), DATE '2025-12-31')) AS age FROM flight f JOIN mem m ON m.memory_id = f.id)""")
+both("store_health", """SELECT round(100 * (0.30 * least(1.0, 1.0 * covered / greatest(total, 1)) + 0.25 * (1 - 1.0 * open_pairs / greatest(pairs, 1)) + 0.20 * least(1.0, 1.0 * archived / greatest(total, 1) * 5) + 0.25 * least(1.0, 1.0 * linked / greatest(total, 1))), 4) AS health FROM
+ (SELECT (SELECT count(*) FROM {mem}) AS total, (SELECT count(DISTINCT p.memory_id) FROM {processed_manifest} p JOIN {mem} m ON m.memory_id = p.memory_id) AS covered, (SELECT count(*) FROM {dedup_log} WHERE merged_text IS NULL) AS open_pairs, (SELECT count(*) FROM {dedup_log}) AS pairs,
+ (SELECT count(*) FROM {mem} WHERE archived) AS archived, (SELECT count(DISTINCT m.memory_id) FROM {mem} m JOIN (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges}) e ON e.node = m.memory_id) AS linked) t""")
+both("suggestion_review", "SELECT source, n, CASE WHEN n < 2 THEN 'rejected' WHEN words < 100 THEN 'needs_enrichment' ELSE 'reviewed' END AS status FROM (SELECT source, count(*) AS n, avg(n_chars) / 6 AS words FROM {documents} WHERE source IS NOT NULL GROUP BY source) t")
+both("conflict_resolution", """SELECT l.id, CASE WHEN a.text IS NULL OR b.text IS NULL THEN 'false_positive' WHEN l.similarity >= 0.92 THEN 'supersede' ELSE 'extend' END AS verdict, CASE WHEN l.similarity >= 0.92 AND a.text IS NOT NULL AND b.text IS NOT NULL THEN CASE WHEN a.created_at <= b.created_at THEN a.memory_id ELSE b.memory_id END END AS archived_id
+ FROM {dedup_log} l JOIN {mem} a ON a.memory_id = lower(trim(l.kept_id)) JOIN {mem} b ON b.memory_id = lower(trim(l.removed_id))""")
+both("online_write_check", "SELECT f.id, CASE WHEN EXISTS (SELECT 1 FROM {mem} m WHERE m.text_hash = f.hash AND m.memory_id <> f.id) THEN 'SKIP' ELSE 'ADD' END AS action FROM {flight} f WHERE f.text IS NOT NULL")
+both("contrast_groups", "SELECT signal_type, count(CASE WHEN _outcome = 'success' THEN 1 END) AS good, count(CASE WHEN _outcome = 'fail' THEN 1 END) AS bad FROM {flight} GROUP BY signal_type HAVING count(CASE WHEN _outcome = 'success' THEN 1 END) > 0 AND count(CASE WHEN _outcome = 'fail' THEN 1 END) > 0")
+both("mark_archived", "SELECT p.memory_id, CASE WHEN p.memory_id IN (SELECT lower(trim(removed_id)) FROM {dedup_log} WHERE similarity >= 0.92) THEN 'archived' ELSE lower(trim(p.status)) END AS status FROM {processed_manifest} p")
+both("run_lifecycle", "SELECT id, CASE WHEN error IS NOT NULL THEN 'failed' WHEN finished_at IS NULL THEN 'zombie' ELSE 'done' END AS state FROM {dream_runs}")
+both("relation_types", "SELECT upper(regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_]', '_')) AS rel_type, count(*) AS n FROM {flight} GROUP BY 1", "SELECT upper(regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_]', '_', 'g')) AS rel_type, count(*) AS n FROM flight GROUP BY 1")
+both("permanent_guard", "SELECT memory_id FROM {mem} WHERE " + " OR ".join(f"text LIKE '%{m}%'" for m in lexicons.PERMANENT))
