@@ -170,7 +170,7 @@ def similar_pairs(df: DataFrame, scratch: Scratch, threshold: float = 0.92, id_c
 
     A redelivered id counts once; unusable vectors (see ``coded``) have no partner. Pairs of one node in any tree are
     found for certain; a pair that no tree keeps together is missed, which for the default forest and a cosine of 0.95
-    happens to about one pair in a hundred at two million vectors.
+    happens to about two pairs in a hundred at two million vectors.
     """
     rows = scratch.save(coded(df, id_col, vector_col, dim), "coded")
     pairs = scratch.save(close_classes(postings(rows, nodes(rows, LEAF)), threshold, dim), "pairs")
