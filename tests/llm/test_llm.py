@@ -181,6 +181,25 @@ def test_forest_recall(spark, monkeypatch):
     assert near[0].neighbour == names[3] and len(near) == 10
 
 
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64)).astype(np.float32)
+    x[7], x[8] = 4 * x[6], x[6]  # ties go to the smaller id
+    monkeypatch.setattr(forest, "LEAF", 64)
+    names = ids(1500)
+    rows = [(n, v.tolist()) for n, v in zip(names, x)] + [(names[6], x[6].tolist()), (names[0], x[0].tolist()), ("null", None), ("short", [1.0]), ("zero", [0.0] * 64), ("nan", [float("nan")] * 64)]
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    u = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    asked = range(0, 1500, 6)
+    want = {names[a]: [names[j] for j in sorted(set(range(1500)) - {a}, key=lambda j: (-round(float(u[a] @ u[j]), 9), j))[:10]] for a in asked}
+    asks = F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 6 == 0
+    got = {}
+    for r in forest.nearest(df, Scratch(spark, "t"), asks).orderBy("rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == want and got[names[6]][:2] == [names[7], names[8]]
+    assert forest.nearest(df.where("false"), Scratch(spark, "t"), asks).count() == 0
+
+
 # survivors
 
 

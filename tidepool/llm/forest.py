@@ -5,7 +5,7 @@ strings are descended to the longest prefixes that still hold enough vectors: a
 ``LEAF`` vectors, so prefixes are as long as the data are dense there, and a split that would leave one side nearly empty
 is undone (the search ascends to the parent). Vectors of one node, in any tree, are compared by one matrix product of
 their 8-bit forms, whose error is bounded per pair; only pairs that the bound can't decide are compared again exactly.
-Equal vectors form a class that travels once.
+Equal vectors form a class that travels once. The k nearest of asked vectors (``nearest``) don't use the forest.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ TREES, BITS, COUNTED, LEAF = 10, 32, 14, 2048
 SEED = 20240131
 #: Undecided pairs up to which their classes are sent to all executors (16 bytes each); beyond, they are joined by a shuffle.
 UNDECIDED = 50_000
+#: Vectors, and asked vectors, in a block of ``nearest``.
+TILE, ASKED = 32_768, 4_096
 
 
 def directions(dim: int) -> np.ndarray:
@@ -188,27 +190,77 @@ def similar_pairs(df: DataFrame, scratch: Scratch, threshold: float = 0.92, id_c
     return ids.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def tiles(df: DataFrame, id_col: str, vector_col: str, dim: int, size: int) -> DataFrame:
+    """(ids, vectors): the usable vectors (see ``coded``) of each partition in blocks of at most ``size``, a redelivered id
+    once a block, the vectors as the bytes of one float matrix."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held = [], []
+
+        def block() -> pa.RecordBatch:
+            names, first = np.unique(np.array(ids, object), return_index=True)
+            raw = np.concatenate(held)[first]
+            return pa.RecordBatch.from_arrays([pa.array([list(names)], pa.list_(batch.column(0).type)), pa.array([raw.tobytes()], pa.binary())], ["ids", "vectors"])
+
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dim))
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                raw = pc.list_flatten(part.column(1)).cast(pa.float32()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+                good = np.isfinite(raw).all(axis=1) & raw.any(axis=1)
+                if ids and len(ids) + good.sum() > size:
+                    yield block()
+                    ids, held = [], []
+                ids += part.column(0).filter(pa.array(good)).to_pylist()
+                held.append(raw[good])
+        if ids:
+            yield block()
+
+    return df.select(id_col, vector_col).mapInArrow(run, f"ids array<{kind}>, vectors binary")
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision, whatever their scale."""
+    u = raw / np.abs(raw).max(axis=1, keepdims=True).astype(np.float64)
+    return u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
 def nearest(df: DataFrame, scratch: Scratch, asks: Column, k: int = 10, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
-    """(id, neighbour, rank, cosine): for each usable vector that ``asks``, its k most similar vectors of other ids that
-    the forest finds, ties to the smaller id; the cosine is that of the 8-bit forms, rounded to three places."""
-    rows = scratch.save(coded(df.withColumn(id_col, F.col(id_col)), id_col, vector_col, dim), "coded")
+    """(id, neighbour, rank, cosine): for each usable vector that ``asks``, its k most similar vectors of other ids, ties to
+    the smaller id; ranked by the exact cosine, which comes out rounded to three places.
 
-    def run(group: pa.Table) -> pa.Table:
-        cls, u, _, ask = _members(group, dim)
-        who = np.flatnonzero(ask)
-        top = min(k + 1, len(cls))
-        a, b, c = [], [], []
-        for at in range(0, len(who), 512):
-            w = who[at : at + 512]
-            dot = u[w] @ u.T
-            best = np.argpartition(-dot, top - 1, axis=1)[:, :top]
-            a.append(np.repeat(w, top)), b.append(best.ravel()), c.append(np.take_along_axis(dot, best, 1).ravel())
-        a, b, c = (np.concatenate(x) if x else np.array([], np.int64) for x in (a, b, c))
-        return pa.table({"a": pa.array(cls[a], pa.binary()), "b": pa.array(cls[b], pa.binary()), "c": pa.array(c, pa.float64())})
-
-    found = postings(rows, nodes(rows, LEAF), asks).groupBy("t", "node", "sub").applyInArrow(run, "a binary, b binary, c double").distinct()
-    member = rows.select("cls", "id").distinct()
-    ask = rows.where(asks).select(F.col("cls").alias("a"), F.col("id").alias("x")).distinct()
-    pairs = found.join(ask, "a").join(member.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b").where("x <> y")
-    best = pairs.groupBy("x", "y").agg(F.round(F.max("c"), 3).alias("c")).groupBy("x").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("d"), "y"))), 1, k).alias("top"))
-    return best.select(F.col("x").alias("id"), F.posexplode("top").alias("pos", "hit")).select("id", F.col("hit.y").alias("neighbour"), (F.col("pos") + 1).alias("rank"), (-F.col("hit.d")).alias("cosine"))
+    Every asked vector meets every vector: 10th neighbours are so far apart here that a forest only keeps nine in ten of
+    them when its nodes together hold a third of all vectors, at any size. Blocks of vectors meet blocks of asked vectors
+    without a shuffle, and each meeting hands on k rows for each asked vector. The work grows with asked times all.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    asked = df.where(asks).select(id_col, vector_col).repartition(id_col)
+    all_ = scratch.save(tiles(df, id_col, vector_col, dim, TILE), "all")
+    asked = scratch.save(tiles(asked, id_col, vector_col, dim, ASKED), "asked").select(F.col("ids").alias("xs"), F.col("vectors").alias("q"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, raw, xs, q in zip(*(batch.column(i) for i in range(4))):
+                ids, xs = np.array(ids.as_py(), object), np.array(xs.as_py(), object)
+                u, w = (_units(np.frombuffer(b.as_buffer(), np.float32).reshape(-1, dim)) for b in (raw, q))
+                u32, w32 = u.astype(np.float32), w.astype(np.float32)
+                place = {i: n for n, i in enumerate(ids)}
+                own = np.array([place.get(x, -1) for x in xs])
+                for at in range(0, len(xs), 256):
+                    dot = w32[at : at + 256] @ u32.T
+                    here = np.flatnonzero(own[at : at + 256] >= 0)
+                    dot[here, own[at : at + 256][here]] = -2
+                    top = min(k, len(ids))
+                    least = np.partition(dot, len(ids) - top, axis=1)[:, len(ids) - top]
+                    i, j = np.nonzero(dot >= np.maximum(least, -1.5)[:, None] - 1e-5)  # what single precision can't decide stays
+                    cos = np.round(np.einsum("ij,ij->i", w[at + i], u[j]), 9)
+                    order = np.lexsort((j, -cos, i))  # a block's ids are in order
+                    i, j, cos = i[order], j[order], cos[order]
+                    begin = np.searchsorted(i, i, "left")
+                    keep = np.arange(len(i)) - begin < k
+                    yield pa.RecordBatch.from_arrays([pa.array(list(xs[at + i[keep]])), pa.array(list(ids[j[keep]])), pa.array(cos[keep])], schema=pa.schema([("x", batch.column(2).type.value_type), ("y", batch.column(0).type.value_type), ("c", pa.float64())]))
+
+    found = all_.crossJoin(asked).mapInArrow(run, f"x {kind}, y {kind}, c double").distinct()
+    best = found.groupBy("x").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("d"), "y"))), 1, k).alias("top"))
+    return best.select(F.col("x").alias("id"), F.posexplode("top").alias("pos", "hit")).select("id", F.col("hit.y").alias("neighbour"), (F.col("pos") + 1).alias("rank"), F.round(-F.col("hit.d"), 3).alias("cosine"))
