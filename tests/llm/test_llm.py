@@ -153,6 +153,17 @@ def test_cross_split_equal_brute_force(spark):
     assert fractions["copy"] == 1.0 and set(fractions) == {i for i, s in side.items() if s is False}
 
 
+def test_chunks_of_many_train_records_are_no_overlap(spark):
+    words = BASE.split()
+    rng = random.Random(8)
+    train = [(f"t{i}", f"{' '.join(words[i : i + 4])} {''.join(rng.choice('abcdefgh ') for _ in range(90))}", "train") for i in range(len(words) - 3)]
+    rows = [*train, ("scattered", BASE, "val"), ("copy", train[5][1].upper(), "test"), ("edited", train[7][1] + " x", "test"), ("short", "abc", "val")]
+    df = table(spark, rows, "id string, text string, _split string")
+    got = {r.id: (r.overlaps, r.fraction) for r in crosssplit.overlap_fractions(df).collect()}
+    assert got["scattered"] == got["short"] == (False, 0.0) and got["copy"] == (True, 1.0)
+    assert got["edited"][0] and 0.5 < got["edited"][1] < 1
+
+
 def test_cut_depends_on_the_text_only():
     texts = ["", "a", BASE, "短文本", BASE[5:]]
     doc, digest, size = crosssplit.cut(texts)

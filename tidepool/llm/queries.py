@@ -47,11 +47,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Records of val and test per split and source, and how many lie in train by at least half of their characters."""
-    rows = crosssplit.overlap_fractions(table(spark, d, "dream_memory").dropDuplicates(["id"]), extra=("source",))
+    """Records of val and test per split and source, how many of them are in a pair of ``p5_found``, and the mean fraction of
+    their characters shared with the best record of train they are paired with."""
+    rows = crosssplit.overlap_fractions(table(spark, d, "dream_memory"), Scratch(spark, "p5"), extra=("source",)).dropDuplicates(["id"])
     source = F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("unknown"))
     share = F.round(F.avg("fraction"), 4)
-    return rows.groupBy("split", source.alias("source")).agg(F.count("*").alias("records"), F.count_if(F.col("fraction") >= 0.5).alias("overlapping"), share.alias("mean_fraction"))
+    return rows.groupBy("split", source.alias("source")).agg(F.count("*").alias("records"), F.count_if("overlaps").alias("overlapping"), share.alias("mean_fraction"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
