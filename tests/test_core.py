@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import scores, text
 from tidepool.functions.times import instant
 from tidepool.operators import clusters, graph, proposals, review, similarity, vectors
+from tidepool.plans import catalog
 from tidepool.runtime import Scratch
 
 
@@ -112,6 +113,18 @@ def test_vectors(spark):
     assert {(r.a, r.b) for r in vectors.close_pairs(v, 0.1).collect()} >= {(0, 3)}
 
 
+def test_novelty_from_the_nearest_vector(spark, tmp_path):
+    v = lambda x, y: [x, y] + [0.0] * 62
+    rows = [("a", v(1.0, 0.0)), ("a", v(1.0, 0.0)), ("b", v(3.0, 4.0)), ("c", v(-1.0, 0.0)), ("h", v(2.0, 0.1)), ("d", None), ("e", [1.0]), ("f", v(0.0, 0.0)), ("g", [float("nan")] * 64)]
+    mem = spark.createDataFrame([(i, x, None if i == "h" else f'{{"data": "a plain text {i}"}}', dt.datetime(2025, 12, 31)) for i, x in rows], "id string, vector array<float>, payload string, created_at timestamp")
+    near = {r.memory_id: r.distance for r in vectors.nearest_distances(mem, Scratch(spark, "t"), 0.5, F.col("payload").isNotNull()).collect()}
+    assert near == {"a": 0.4, "b": 0.4, "h": 0.0012}  # h has no text: it looks for others, but is none's neighbour
+    mem.write.parquet(f"{tmp_path}/mem0.parquet")
+    spark.createDataFrame([], "id long, dream_run_id long, kept_id string").write.parquet(f"{tmp_path}/dedup_log.parquet")
+    with_, without = ({r.memory_id: r.score for r in catalog.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("importance_novelty", "importance_score"))
+    assert {i: round(without[i] - with_[i], 6) for i in without} == {i: 0.018 if i in "ab" else 0.0 for i in "abcdefg"}
+
+
 def test_clusters_and_review(spark):
     rows = spark.createDataFrame([("1", "see KD-1 now"), ("2", "same text"), ("3", "Same  TEXT"), ("4", None), ("5", "alone")], "id string, text string")
     got = {r.id: r.cluster for r in clusters.cascade(rows, ("(?i)(KD)-[0-9]+",)).collect()}

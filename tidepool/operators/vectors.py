@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.runtime import Scratch
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -39,3 +46,48 @@ def close_pairs(rows: DataFrame, distance: float, id_col: str = "vec_id", vector
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=2 * radius, numHashTables=tables, seed=11).fit(unit)
     pairs = model.approxSimilarityJoin(unit, unit, radius, distCol="r").where("datasetA.id < datasetB.id")
     return pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.round(F.col("r") * F.col("r") / 2, 6).alias("distance"))
+
+
+def nearest_distances(rows: DataFrame, scratch: Scratch, within: float, partners: Column, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
+    """(memory_id, distance): the cosine distance, to four places, of each vector's nearest vector of another id among the
+    rows that are ``partners``, where it is below ``within``.
+
+    Every vector meets every other, in blocks and without a shuffle, so none is missed and the work grows with their
+    square. Vectors of another length, with null, NaN or infinite elements, or all zero have no neighbour.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dim))
+            raw = pc.list_flatten(batch.column(1)).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+            good = np.isfinite(raw).all(axis=1) & raw.any(axis=1)
+            ids = batch.column(0).filter(pa.array(good)).to_pylist()
+            if ids:
+                u = raw[good] / np.abs(raw[good]).max(axis=1, keepdims=True)
+                u /= np.linalg.norm(u, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(batch.column(0).type)), pa.array([u.tobytes()], pa.binary())], ["ids", "u"])
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for xs, x, ys, y in zip(*(batch.column(i) for i in range(4))):
+                u, v = (np.frombuffer(b.as_buffer(), np.float64).reshape(-1, dim) for b in (x, y))
+                u32, v32 = u.astype(np.float32), v.astype(np.float32)
+                xs, place = xs.as_py(), {}
+                for j, i in enumerate(ys.as_py()):
+                    place.setdefault(i, []).append(j)
+                cos = np.empty(len(xs))
+                for at in range(0, len(xs), 512):
+                    dot = u32[at : at + 512] @ v32.T
+                    for i, name in enumerate(xs[at : at + 512]):
+                        if name in place:
+                            dot[i, place[name]] = -2
+                    best = dot.argmax(axis=1)
+                    met = dot[np.arange(len(dot)), best] > -1.5
+                    cos[at : at + 512] = np.where(met, np.einsum("ij,ij->i", u[at : at + 512], v[best]), -2)
+                keep = np.flatnonzero(1 - cos < within)
+                yield pa.RecordBatch.from_arrays([pa.array(xs, batch.column(0).type.value_type).take(pa.array(keep)), pa.array(np.maximum(1 - cos[keep], 0))], ["memory_id", "distance"])
+
+    packed, met = (scratch.save(r.select(id_col, vector_col).mapInArrow(pack, f"ids array<{kind}>, u binary"), "vectors") for r in (rows, rows.where(partners)))
+    pairs = packed.crossJoin(met.select(F.col("ids").alias("ids_b"), F.col("u").alias("u_b")))
+    return pairs.mapInArrow(meet, f"memory_id {kind}, distance double").groupBy("memory_id").agg(F.round(F.min("distance"), 4).alias("distance"))

@@ -158,6 +158,22 @@ def boost_decay(spark: SparkSession, d: str) -> DataFrame:
     return m.select("memory_id", scores.decision(F.lit(1), F.round("score", 6), F.col("age")).alias("action"))
 
 
+def _with_novelty(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.nearest_distances(table(spark, d, "mem0"), Scratch(spark, "novelty"), 0.5, F.get_json_object("payload", "$.data") != "")
+    return decisions.scored(memory.memories(spark, d).where("text is not null"), decisions.recalls(table(spark, d, "dedup_log")), memory.as_of(), near)
+
+
+@query()
+def importance_novelty(spark: SparkSession, d: str) -> DataFrame:
+    """As importance_score, with novelty from the nearest vector of mem0 where that has the default."""
+    return _with_novelty(spark, d).select("memory_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def boost_decay_novelty(spark: SparkSession, d: str) -> DataFrame:
+    return _with_novelty(spark, d).select("memory_id", scores.decision(F.lit(1), F.round("score", 6), F.col("age")).alias("action"))
+
+
 @query("SELECT id, " + " OR ".join(f"regexp_matches(text, '{p}', 'i')" for p in lexicons.DATED) + " AS is_dated FROM flight WHERE text IS NOT NULL")
 def time_sensitive(spark: SparkSession, d: str) -> DataFrame:
     return memory.in_flight(spark, d).where("text is not null").select("id", text.dated(F.col("text")).alias("is_dated"))
