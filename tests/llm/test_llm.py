@@ -164,6 +164,62 @@ def test_chunks_of_many_train_records_are_no_overlap(spark):
     assert got["edited"][0] and 0.5 < got["edited"][1] < 1
 
 
+def scripts():
+    """Texts of scripts with and without blanks, of symbols, and one that repeats itself, each with an edited twin."""
+    rng = random.Random(11)
+    run = lambda lo, hi, n: "".join(chr(rng.randrange(lo, hi)) for _ in range(n))
+    out = []
+    for k, (lo, hi, n) in enumerate(((0x4E00, 0x8E00, 120), (0x0E01, 0x0E2E, 150), (0x3041, 0x3090, 90), (0x1F300, 0x1F5FF, 40), (0x61, 0x7A, 70), (0xAC00, 0xD000, 60))):
+        t = run(lo, hi, n)
+        out += [(f"{k}a", t), (f"{k}b", t[: n // 2] + chr(lo + 3) + t[n // 2 + 1 :])]
+    return [*out, ("ra", BASE), ("rb", f"{BASE} {BASE} {BASE}"), ("zz", "\u200b" * 30), ("xy", "-" * 40)]
+
+
+def test_every_script_and_repeated_texts(spark):
+    rows = scripts()
+    want = brute([(i, t) for i, t in rows if i not in ("zz", "xy")])
+    assert {(f"{k}a", f"{k}b") for k in range(6)} | {("ra", "rb")} <= want
+    assert {tuple(r) for r in neardup.near_pairs(table(spark, rows), Scratch(spark, "t")).collect()} == want
+    split = [(i, t, "train" if i[-1] == "a" else "test") for i, t in rows]
+    got = {tuple(r) for r in crosssplit.cross_split_pairs(table(spark, split, "id string, text string, _split string"), Scratch(spark, "t")).collect()}
+    assert got == {(a, b) for a, b in want if a[-1] != b[-1]}
+
+
+def test_sampling_doesnt_depend_on_the_size():
+    """Counters of a corpus a hundred times as large mark the same features as frequent."""
+    rng = np.random.default_rng(3)
+    total = rng.poisson(40, grams.SLOTS)
+    total[:500] += 100_000
+    small, large = grams.Frequent(total, neardup.SHARE), grams.Frequent(total * 100, neardup.SHARE)
+    assert ((small.n > 0) == (large.n > 0)).all() and (small.n > 0).sum() == 500
+
+
+def test_anchors_of_texts_edited_up_to_the_threshold():
+    """Texts with letters changed at random places until one more edit would bring them below 0.70."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 60))) for _ in range(300)]
+    _, digest = neardup.sequences(texts)
+    known = grams.Frequent(np.bincount((digest % np.uint64(grams.SLOTS)).astype(np.int64), minlength=grams.SLOTS), neardup.SHARE)
+
+    def keys(text):
+        doc, h = neardup.sequences([text])
+        at = grams.sampled(doc, h, known, neardup.FEWEST, neardup.PART)
+        return set(grams.anchors(doc[at], h[at])[1].tolist())
+
+    missed = 0
+    for t in texts:
+        new = t
+        while True:
+            i = rng.randrange(len(new))
+            tried = new[:i] + rng.choice("abcdefghij") + new[i + 1 :]
+            if not grams.similarities([t], [tried], 0.7)[0]:
+                break
+            new = tried
+        missed += not keys(t) & keys(new)
+    assert missed <= 6
+
+
 def test_cut_depends_on_the_text_only():
     texts = ["", "a", BASE, "短文本", BASE[5:]]
     doc, digest, size = crosssplit.cut(texts)

@@ -1,4 +1,4 @@
-"""Shared parts of the text joins: consistent forms by class, a frequency sketch, and the exact check of pairs.
+"""Shared parts of the text joins: consistent forms by class, frequent features, and the exact check of pairs.
 
 The similarity is that of distinct three-character sequences of the consistent form in lower case: those in both texts
 divided by those in either. Three code points fit a 64-bit integer, so a text's sequences are an exact sorted array.
@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 from tidepool.llm.textform import consistent
 from tidepool.runtime import Scratch
 
-#: Counters of the frequency sketch; what reaches the driver is at most that many sums.
+#: Counters by which features are counted; what reaches the driver is at most that many sums.
 SLOTS = 1 << 18
+#: Occurrences up to which no feature is frequent: so few texts may share any tile.
+COMMON = 64
+#: Texts whose features are taken at once, and known texts a worker remembers to pass over their copies.
+ROWS, SEEN = 2_000, 1 << 20
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Bits of a text's bitmap signature.
 BITMAP = 512
 
@@ -45,23 +50,69 @@ def text_classes(df: DataFrame, scratch: Scratch, id_col: str = "id", text_col:
     raise RuntimeError("text keys collide under every seed")
 
 
-def frequencies(forms: DataFrame, features: Callable[[list[str]], np.ndarray]) -> np.ndarray:
-    """Counters of feature hashes over all texts: slot ``hash % SLOTS`` holds at least the feature's number of occurrences.
-    ``features`` gives the hashes of all features of some texts."""
+class Frequent:
+    """Numbers of occurrences of the frequent features, 0 for all others. A feature is frequent if its counter has more than
+    one in ``share`` of all occurrences, and more than ``COMMON``. A counter has one in ``SLOTS`` on average, so as long as ``share`` is well below that
+    number, rare features that share a counter don't become frequent, at any size of the corpus; those that share one with
+    a frequent feature do, in all texts alike."""
+
+    def __init__(self, total: np.ndarray, share: int):
+        self.n = np.where((total * share > total.sum()) & (total > COMMON), total, 0)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.n[(hashes % np.uint64(SLOTS)).astype(np.int64)]
+
+
+def frequent(forms: DataFrame, features: Callable[[list[str]], np.ndarray], share: int) -> Frequent:
+    """The frequent features, counted over all texts. ``features`` gives the hashes of all features of some texts."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                hashes = features(batch.column(0).slice(at, 2_000).to_pylist())
+            for at in range(0, batch.num_rows, ROWS):
+                hashes = features(batch.column(0).slice(at, ROWS).to_pylist())
                 total += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
 
-    out = np.zeros(SLOTS, np.int64)
-    for slot, n in forms.select("form").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
-        out[slot] = n
-    return out
+    sums = forms.select("form").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(SLOTS, np.int64)
+    total[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    return Frequent(total, share)
+
+
+def sampled(doc: np.ndarray, digest: np.ndarray, known: Frequent, fewest: int, part: int) -> np.ndarray:
+    """The features each text is sampled by, as increasing places: one in ``part`` of its distinct ones, ``fewest`` at
+    least. All texts use one order: by number of occurrences if frequent, then by digest."""
+    order = np.lexsort((digest, known[digest], doc))
+    d, g = doc[order], digest[order]
+    first = np.ones(len(d), bool)
+    first[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
+    order, d = order[first], d[first]
+    number = np.bincount(d)
+    place = np.arange(len(d)) - (np.cumsum(number) - number)[d]
+    return np.sort(order[place < np.maximum(fewest, number // part)[d]])
+
+
+def anchors(doc: np.ndarray, digest: np.ndarray, steps: tuple[int, ...] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) of features that stand next to each other, or next but one, among those their text is sampled by,
+    in either order; the single features of texts with less than three."""
+    few = np.bincount(doc, minlength=1)[doc] < 3
+    docs, keys = [doc[few]], [digest[few] * np.uint64(3)]
+    for step in steps:
+        a, b, same = digest[:-step], digest[step:], doc[:-step] == doc[step:]
+        docs.append(doc[:-step][same]), keys.append(((a ^ b) * _MIX + np.minimum(a, b))[same])
+    return np.concatenate(docs), np.concatenate(keys).view(np.int64)
+
+
+def unseen(seen: set, key: object) -> bool:
+    """Whether a worker meets a key for the first time, as far as it remembers."""
+    if key in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen.add(key)
+    return True
 
 
 def trigrams(form: str) -> np.ndarray:
@@ -70,6 +121,23 @@ def trigrams(form: str) -> np.ndarray:
     return np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]) if len(c) > 2 else np.empty(0, np.uint64)
 
 
+def sizes(forms: list[str]) -> np.ndarray:
+    """The number of distinct three-character sequences of each text."""
+    if not forms:
+        return np.empty(0, np.int64)
+    width = np.array([max(len(f) - 2, 0) for f in forms], np.int64)
+    c = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.array([len(f) for f in forms], np.int64)
+    doc = np.repeat(np.arange(len(forms)), width)
+    at = np.arange(len(doc)) + (np.cumsum(length) - length - np.cumsum(width) + width)[doc]
+    key = c[at] << np.uint64(42) | c[at + 1] << np.uint64(21) | c[at + 2] if len(doc) else np.empty(0, np.uint64)
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    return np.bincount(doc[first], minlength=len(forms))
+
+
 def bitmap(grams: np.ndarray) -> np.ndarray:
     """Hashed bitmap signature."""
     bits = np.zeros(BITMAP, np.uint8)
