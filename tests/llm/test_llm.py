@@ -1,6 +1,7 @@
 import base64
 import itertools
 import random
+import unicodedata
 from pathlib import Path
 
 import numpy as np
@@ -30,6 +31,21 @@ def test_consistent_form():
     assert consistent(None) is None and consistent("​") == "" and consistent("plain Text!") == "plain Text!"
 
 
+def test_consistent_form_of_every_character():
+    """Each character's form is its own form, and so is that of each compatibility character's plain equivalent."""
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        form = consistent(c)
+        assert consistent(form) == form and consistent(unicodedata.normalize("NFKD", c)) == form, hex(ord(c))
+
+
+def test_lookalike_pairs_of_compatibility_characters(spark):
+    plain = "Sum of 3 parts カタカナ and résumé ё"
+    forms = [plain, plain.replace("Sum", "".join(chr(0x1D400 + ord(c) - 65 if c < "a" else 0x1D41A + ord(c) - 97) for c in "Sum")), plain.replace("3", "③"), plain.replace("カタカナ", "ｶﾀｶﾅ"), unicodedata.normalize("NFD", plain), plain.replace("ё", "ë"), "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in plain)]
+    df = table(spark, list(zip(ids(7), forms)))
+    assert lookalikes.lookalike_pairs(df).count() == 21
+    assert {tuple(r) for r in lookalikes.lookalike_classes(df).collect()} == {(i, ids(1)[0], 7) for i in ids(7)}
+
+
 def test_lookalike_pairs(spark):
     a, b, c, d, e, f, g = ids(7)
     long = "The résumé of Carla stays readable"
@@ -67,6 +83,20 @@ def test_components_match_union_find(spark, crash, monkeypatch):
     assert got == {x: find(x) for x in parent}
 
 
+def test_hubs_are_not_shuffled(spark):
+    """A chain that hangs on a node with nine tenths of all edges: the same components, and the hub's edges meet a broadcast."""
+    edges = [(i, 0) for i in range(1, 900)] + [(i, i + 1) for i in range(1000, 1100)] + [(899, 1000), (2000, 2001), (2001, 2000), (5, 5), (None, 3)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    for hub in (50, components.HUB):
+        got = {r.u: r.v for r in components.star_components(df, Scratch(spark, "t"), hub=hub).collect()}
+        assert got == {**dict.fromkeys([*range(1, 900), *range(1000, 1101)], 0), 2001: 2000}
+    e = Scratch(spark, "t").save(df.where("u > v"), "e")
+    hot = components.hubs(e, e.count(), 50, Scratch(spark, "t"))
+    assert [r.node for r in hot.collect()] == [0] and components.hubs(e, 10, 50, Scratch(spark, "t")) is None
+    plan = components.large_star(e, hot)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin [node" in plan or "BroadcastHashJoin [u" in plan
+
+
 def test_components_empty(spark):
     assert components.match_groups(table(spark, [], "kept_id string, removed_id string"), Scratch(spark, "t")).count() == 0
 

@@ -2,8 +2,9 @@
 
 Every node ends linked to the smallest node of its component. Nodes are 64-bit keys whose order is the order of the ids,
 so each round aggregates, joins and deduplicates pairs of longs; components that are already a star leave the edge table
-early. No round collects a neighbourhood: the minimum is a partially combined aggregate, and the join back is an equi-join
-that adaptive execution splits at hot keys.
+early. No round collects a neighbourhood: the minimum is a partially combined aggregate. What a node has been found to be is
+joined back to its edges without moving the edges of hubs: those, of which there can only be few, meet a broadcast of the
+hubs' rows where they stand, and only the edges of the other nodes are shuffled.
 """
 
 from __future__ import annotations
@@ -30,29 +31,53 @@ def id_key(c: Column) -> Column:
     return F.conv(F.concat(F.substring(c, 1, 8), F.substring(c, 10, 4), F.substring(c, 15, 4)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def large_star(e: DataFrame) -> DataFrame:
+#: Edges from which a node is a hub, and the number that hubs can't exceed however many edges there are.
+HUB, HUBS = 1_000_000, 1 << 17
+
+
+def hubs(e: DataFrame, n: int, hub: int, scratch: Scratch) -> DataFrame | None:
+    """(node) of more than ``hub`` of the ``n`` edges, in either direction, or more than their 2 n / HUBS if that is more;
+    so there are at most HUBS. None if there can be none."""
+    least = max(hub, 2 * n // HUBS)
+    if n <= least:
+        return None
+    ends = e.select(F.explode(F.array("u", "v")).alias("node"))
+    return scratch.save(ends.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > least).select("node"), "hubs")
+
+
+def meet(e: DataFrame, key: str, known: DataFrame, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``e`` joined with ``known``, which has one row for each of some values of ``key``. Rows of hubs stay where they are."""
+    if hot is None:
+        return e.join(known, key, how)
+    few = F.broadcast(hot.withColumnRenamed("node", key))
+    at_hubs = F.broadcast(known.join(few, key, "left_semi"))
+    return e.join(few, key, "left_anti").join(known, key, how).unionByName(e.join(few, key, "left_semi").join(at_hubs, key, how))
+
+
+def large_star(e: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Link each node's larger neighbours to the smallest of the node and its neighbours. ``e``: pairs (u, v), u > v."""
     sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return sym.join(low.hint("shuffle_hash"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return meet(sym.where("v > u"), "u", low, hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(e: DataFrame) -> DataFrame:
+def small_star(e: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
     low = e.groupBy("u").agg(F.min("v").alias("m"))
-    rest = e.join(low.hint("shuffle_hash"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = meet(e, "u", low, hot).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(low.withColumnRenamed("m", "v")).distinct()
 
 
-def unfinished(e: DataFrame) -> DataFrame:
+def unfinished(e: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """The edges (u, v, live): ``live`` unless the edge's component already is a star around its minimum."""
     node = e.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up")))
     bad = node.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("parent")).where("ups > 1 or (ups > 0 and parent = 0)").select("n")
-    tainted = bad.unionByName(e.join(bad, e.u == bad.n, "left_semi").select(F.col("v").alias("n"))).distinct().withColumn("live", F.lit(True))
-    return e.join(tainted, e.v == tainted.n, "left").select("u", "v", F.coalesce("live", F.lit(False)).alias("live"))
+    above = meet(e, "u", bad.select(F.col("n").alias("u")), hot).select(F.col("v").alias("n"))
+    tainted = bad.unionByName(above).distinct().select(F.col("n").alias("v"), F.lit(True).alias("live"))
+    return meet(e, "v", tainted, hot, "left").select("u", "v", F.coalesce("live", F.lit(False)).alias("live"))
 
 
-def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
+def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100, hub: int = HUB) -> DataFrame:
     """(u, v): each node that isn't the smallest of its component, with that smallest node.
 
     ``edges``: pairs (u, v) of longs; nulls and loops are ignored, repeated and reversed pairs are harmless, an empty
@@ -60,21 +85,20 @@ def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -
     """
     e = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     done: list[DataFrame] = []
-    seen = None
+    seen, n = None, e.count()
     for k in range(max_rounds):
-        big = scratch.save(large_star(e), "large")
-        star = scratch.save(small_star(big), "small")
-        new = scratch.save(unfinished(star), "edges")
+        big = scratch.save(large_star(e, hubs(e, n, hub, scratch)), "large")
+        star = scratch.save(small_star(big, hubs(big, n, hub, scratch)), "small")
+        new = scratch.save(unfinished(star, hubs(star, n, hub, scratch)), "edges")
         for t in (e, big, star):
             scratch.drop(t)
-        scratch.sweep()
         state = new.where("live").agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         done.append(new.where("not live").select("u", "v"))
         e = new.where("live").select("u", "v")
         if state[0] == 0 or state == seen:
             done.append(e)
             break
-        seen = state
+        seen, n = state, state[0]
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     out = done[0]

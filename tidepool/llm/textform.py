@@ -1,21 +1,22 @@
 """Consistent form of a text: visible characters, one width, one composition, ordinary spaces, one letter per look-alike.
 
-Letter case, accents and punctuation marks are kept. Two implementations of the same mapping exist: ``consistent`` for
-Python workers, and ``sql_mapped`` (JVM expressions; composition is left to the collation that groups its values).
+Letter case, accents and punctuation marks are kept. ``consistent`` is the one definition of the mapping.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-# Letters that can't be told from a Latin letter in print; code point of the letter, then its Latin twin.
-CYRILLIC = "430a 435e 43Eo 440p 441c 443y 445x 456i 458j 455s 475v 4BBh 501d 51Bq 51Dw 4CFl 410A 412B 415E 41AK 41CM 41DH 41EO 420P 421C 422T 423Y 425X 406I 408J 405S 4BAH 51AQ 51CW 4C0I"
-GREEK = "391A 392B 395E 396Z 397H 399I 39AK 39CM 39DN 39FO 3A1P 3A4T 3A5Y 3A7X 3BFo 3F2c 3F3j"
-ARMENIAN = "585o 570h 57Du 581g 555O 54FS"
-LOOKALIKES = {chr(int(x[:-1], 16)): x[-1] for x in f"{CYRILLIC} {GREEK} {ARMENIAN}".split()}
+# Cyrillic, Greek and Armenian letters that can't be told from a Latin letter in print, with their Latin twins.
+LOOKALIKES = {
+    "\u0430": "a", "\u0435": "e", "\u043e": "o", "\u0440": "p", "\u0441": "c", "\u0443": "y", "\u0445": "x", "\u0456": "i", "\u0458": "j", "\u0455": "s", "\u0475": "v",
+    "\u04bb": "h", "\u0501": "d", "\u051b": "q", "\u051d": "w", "\u04cf": "l", "\u0410": "A", "\u0412": "B", "\u0415": "E", "\u041a": "K", "\u041c": "M", "\u041d": "H",
+    "\u041e": "O", "\u0420": "P", "\u0421": "C", "\u0422": "T", "\u0423": "Y", "\u0425": "X", "\u0406": "I", "\u0408": "J", "\u0405": "S", "\u04ba": "H", "\u051a": "Q",
+    "\u051c": "W", "\u04c0": "I",
+    "\u0391": "A", "\u0392": "B", "\u0395": "E", "\u0396": "Z", "\u0397": "H", "\u0399": "I", "\u039a": "K", "\u039c": "M", "\u039d": "N", "\u039f": "O", "\u03a1": "P",
+    "\u03a4": "T", "\u03a5": "Y", "\u03a7": "X", "\u03bf": "o", "\u03f2": "c", "\u03f3": "j",
+    "\u0585": "o", "\u0570": "h", "\u057d": "u", "\u0581": "g", "\u0555": "O", "\u054f": "S",
+}
 # Hyphens that only differ in how a line may break, and the minus sign.
 HYPHENS = dict.fromkeys(map(chr, (0x2010, 0x2011, 0xFE63, 0x2212)), "-")
 # Blank characters other than the ordinary space; tab and line ends are kept as they are.
@@ -27,7 +28,10 @@ UNSEEN = (
     (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0xE0000, 0xE007F), (0xE0100, 0xE01EF),
 )
 DROPPED = frozenset(c for a, b in UNSEEN for c in range(a, b + 1))
+#: Letters with accents (Greek and Cyrillic blocks) whose base has a Latin twin, by rule.
+ACCENTED = {chr(c): LOOKALIKES[d[0]] + d[1:] for c in range(0x370, 0x530) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0] in LOOKALIKES}
 _TABLE: dict[int, str | None] = {
+    **{ord(a): b for a, b in ACCENTED.items()},
     **{ord(a): b for a, b in (LOOKALIKES | HYPHENS).items()},
     **{ord(a): " " for a in SPACES},
     **dict.fromkeys(DROPPED),
@@ -42,28 +46,3 @@ def consistent(text: str | None) -> str | None:
         return text if text.isprintable() else text.translate(_TABLE)
     text = unicodedata.normalize("NFKC", text).translate(_TABLE)
     return unicodedata.normalize("NFC", text)
-
-
-def plain_map() -> dict[str, str]:
-    """One-to-one part of the mapping, for the JVM's ``translate``: look-alikes (with an accent too), hyphens, blanks
-    and width variants."""
-    out = {**LOOKALIKES, **HYPHENS, **dict.fromkeys(SPACES, " ")}
-    for c in (*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7)):  # width variants by rule
-        if len(k := unicodedata.normalize("NFKC", chr(c))) == 1:
-            out[chr(c)] = LOOKALIKES.get(k, k)
-    for c in range(0x0370, 0x0460):  # precomposed letters whose base has a Latin twin
-        d = unicodedata.normalize("NFD", chr(c))
-        if len(d) == 2 and d[0] in LOOKALIKES and len(e := unicodedata.normalize("NFC", LOOKALIKES[d[0]] + d[1])) == 1:
-            out[chr(c)] = e
-    return out
-
-
-def sql_mapped(text: Column) -> Column:
-    """The mapping by built-in expressions, all but composition: values that differ only in composition are equal under
-    the accent-sensitive Unicode collation that groups them."""
-    table = plain_map()
-    body = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSEEN)
-    out = F.translate(F.regexp_replace(text, f"[{body}]", ""), "".join(table), "".join(table.values()))
-    for c in range(0xFB00, 0xFB07):  # ligatures of Latin letters
-        out = F.replace(out, F.lit(chr(c)), F.lit(unicodedata.normalize("NFKC", chr(c))))
-    return out
