@@ -19,10 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.grams import unseen
 from tidepool.runtime import Scratch
 
-#: Trees; bits of a hash string; bits by which nodes are counted; vectors in a node that isn't split further.
-TREES, BITS, COUNTED, LEAF = 10, 32, 14, 2048
+#: Fewest trees; bits of a hash string; bits by which nodes are counted; vectors in a node that isn't split further.
+TREES, BITS, COUNTED, LEAF = 10, 32, 14, 4096
+#: Part of the pairs at the threshold that may be in no common node; the number of trees grows with the vectors to keep it.
+MISSED = 0.005
 SEED = 20240131
 #: Undecided pairs up to which their classes are sent to all executors (16 bytes each); beyond, they are joined by a shuffle.
 UNDECIDED = 50_000
@@ -30,18 +33,25 @@ UNDECIDED = 50_000
 TILE, ASKED = 32_768, 4_096
 
 
-def directions(dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dim, TREES * BITS)).astype(np.float32)
+def trees_for(n: int, threshold: float) -> int:
+    """Trees for so many vectors: two vectors at the threshold share each bit with probability 1 - angle / pi, and a node of
+    ``LEAF`` vectors lies about log2(n / LEAF) bits deep."""
+    together = (1 - np.arccos(threshold) / np.pi) ** max(0.0, np.log2(max(n, 1) / LEAF))
+    return max(TREES, int(np.ceil(np.log(MISSED) / np.log1p(-min(together, 1 - 1e-9)))))
 
 
-def coded(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
+def directions(dim: int, trees: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((dim, trees * BITS)).astype(np.float32)
+
+
+def coded(df: DataFrame, id_col: str, vector_col: str, dim: int, trees: int) -> DataFrame:
     """(cls, id, q, s, e, codes): of each usable vector its class, 8-bit form with scale and error, and hash strings.
 
     Null vectors, those of another length, with null, NaN or infinite elements and those that are all zero are left out.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = directions(dim)
+        h = directions(dim, trees)
         for batch in batches:
             batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dim))
             if not batch.num_rows:
@@ -69,25 +79,25 @@ def _codes(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.uint32)
 
 
-def nodes(codes: DataFrame, leaf: int) -> np.ndarray:
+def nodes(codes: DataFrame, leaf: int, trees: int) -> np.ndarray:
     """(trees, 2**COUNTED): the node of each counted prefix, -1 where a node holds less than two vectors, and in the high
     bits how much deeper a node that is still too large goes. What comes to the driver is at most that many counts."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TREES, 1 << COUNTED), np.int64)
+        total = np.zeros((trees, 1 << COUNTED), np.int64)
         for batch in batches:
             if batch.num_rows:
                 c = _codes(batch.column(0)) >> (BITS - COUNTED)
-                for t in range(TREES):
+                for t in range(trees):
                     total[t] += np.bincount(c[:, t], minlength=1 << COUNTED)
         t, p = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(p, pa.int32()), pa.array(total[t, p])], ["t", "p", "n"])
 
-    counts = np.zeros((TREES, 1 << COUNTED), np.int64)
+    counts = np.zeros((trees, 1 << COUNTED), np.int64)
     for t, p, n in codes.select("codes").mapInArrow(count, "t int, p int, n bigint").groupBy("t", "p").agg(F.sum("n")).collect():
         counts[t, p] = n
-    out = np.full((TREES, 1 << COUNTED), -1, np.int64)
-    for t in range(TREES):
+    out = np.full((trees, 1 << COUNTED), -1, np.int64)
+    for t in range(trees):
         sums = np.concatenate(([0], np.cumsum(counts[t])))
         todo = [(0, 1 << COUNTED)]
         while todo:
@@ -107,18 +117,18 @@ def nodes(codes: DataFrame, leaf: int) -> np.ndarray:
 
 
 def postings(rows: DataFrame, node: np.ndarray, asks: Column | None = None) -> DataFrame:
-    """(t, node, sub, cls, q, s, e, asks): each class in its node of each tree, once for each input partition."""
+    """(t, node, sub, cls, q, s, e, asks): each class in its node of each tree, mostly once for each input partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             cls = batch.column(0).to_pylist()
-            first = np.array([not (c in seen or seen.add(c)) for c in cls], bool)
+            first = np.array([unseen(seen, c) for c in cls], bool)
             batch = batch.filter(pa.array(first))
             if not batch.num_rows:
                 continue
             codes = _codes(batch.column(4))
-            for t in range(TREES):
+            for t in range(len(node)):
                 at = node[t, codes[:, t] >> (BITS - COUNTED)]
                 keep = np.flatnonzero(at >= 0)
                 deeper = at[keep] >> COUNTED
@@ -167,15 +177,11 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def similar_pairs(df: DataFrame, scratch: Scratch, threshold: float = 0.92, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
-    """(id_a, id_b): two different ids, id_a < id_b, whose vectors have at least the given cosine.
-
-    A redelivered id counts once; unusable vectors (see ``coded``) have no partner. Pairs of one node in any tree are
-    found for certain; a pair that no tree keeps together is missed, which for the default forest and a cosine of 0.95
-    happens to about two pairs in a hundred at two million vectors.
-    """
-    rows = scratch.save(coded(df, id_col, vector_col, dim), "coded")
-    pairs = scratch.save(close_classes(postings(rows, nodes(rows, LEAF)), threshold, dim), "pairs")
+def close(df: DataFrame, scratch: Scratch, threshold: float, id_col: str, vector_col: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of classes of equal vectors, members (cls, id)) with at least the given cosine."""
+    trees = trees_for(df.count(), threshold)
+    rows = scratch.save(coded(df, id_col, vector_col, dim, trees), "coded")
+    pairs = scratch.save(close_classes(postings(rows, nodes(rows, LEAF, trees)), threshold, dim), "pairs")
     open_, sure = pairs.where("not sure"), pairs.where("sure").select("a", "b")
     if n := open_.count():
         ids = open_.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -184,12 +190,31 @@ def similar_pairs(df: DataFrame, scratch: Scratch, threshold: float = 0.92, id_c
         vec = owner.join(df.select(id_col, F.col(vector_col).alias("v")).dropDuplicates([id_col]), id_col).select("cls", "v")
         both = open_.join(vec.select(F.col("cls").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("cls").alias("b"), F.col("v").alias("vb")), "b")
         sure = sure.unionByName(both.where(cosine("va", "vb") >= threshold).select("a", "b"))
-    same = rows.groupBy("cls").agg(F.countDistinct("id").alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    member = rows.select("cls", "id").distinct()
+    return sure, rows.select("cls", "id").distinct()
+
+
+def similar_pairs(df: DataFrame, scratch: Scratch, threshold: float = 0.92, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
+    """(id_a, id_b): two different ids, id_a < id_b, whose vectors have at least the given cosine.
+
+    A redelivered id counts once; unusable vectors (see ``coded``) have no partner. Pairs of one node in any tree are
+    found for certain; a pair that no tree keeps together is missed. The number of trees grows with the vectors so that this
+    happens to about ``MISSED`` of the pairs at the threshold, and to fewer above it.
+    """
+    sure, member = close(df, scratch, threshold, id_col, vector_col, dim)
+    same = member.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     ids = sure.unionByName(same).join(member.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
     return ids.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def similar_classes(df: DataFrame, scratch: Scratch, threshold: float = 0.92, id_col: str = "id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
+    """(id, class_id, links): each id with a usable vector, the smallest id with an equal vector, and how many other vectors
+    its vector is near to. Copies of one vector are one vector here and aren't expanded."""
+    sure, member = close(df, scratch, threshold, id_col, vector_col, dim)
+    links = sure.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    low = member.groupBy("cls").agg(F.min("id").alias("class_id")).join(links, "cls", "left").select("cls", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return member.join(low, "cls").select("id", "class_id", "links")
+
+
 def tiles(df: DataFrame, id_col: str, vector_col: str, dim: int, size: int) -> DataFrame:
     """(ids, vectors): the usable vectors (see ``coded``) of each partition in blocks of at most ``size``, a redelivered id
     once a block, the vectors as the bytes of one float matrix."""

@@ -49,9 +49,9 @@ def label_of(label: str | None) -> str | None:
     return _BY_NAME.get(t) or _BY_NAME.get(re.split(r"[-_]", t)[0])
 
 
-def sentences(text: str | None) -> list[str]:
-    """Whole sentences of a text in consistent form, without front matter, headings, role names and bullets. The marks of
-    full width stay as they are for the cut."""
+def sentences(text: str | None, whole: bool = True) -> list[str]:
+    """Whole sentences of a text, without front matter, headings, role names and bullets; without ``whole`` also what no
+    closing mark ends. The marks of full width stay as they are for the cut."""
     if not text:
         return []
     body = text
@@ -65,7 +65,7 @@ def sentences(text: str | None) -> list[str]:
             continue
         for s in _ENDS.split(line):
             s = s.strip().strip("“”\"")
-            if s and s[-1] in ".!?…。！？":
+            if s and (not whole or s[-1] in ".!?…。！？"):
                 out.append(s)
     return out
 
@@ -195,9 +195,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return grow(((k, Counter(w)) for (k, w), g, m in zip(parts, lang, margin) if g == k and m >= LEAST_BITS), len(LANGS))
 
 
-def judged(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", open_too: bool = False) -> DataFrame:
     """(id column, label, part, lang, sentences, bits, words): the segments of each document: runs of sentences of one
-    language, numbered from 0; ``label`` is the language that the document's label names, null if none."""
+    language, numbered from 0; ``label`` is the language that the document's label names, null if none. With ``open_too``
+    documents without a whole sentence give segments of their unclosed lines, with 0 sentences."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,8 @@ def judged(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
-                texts = [[words(s) for s in sentences(t)] for t in piece.column(1).to_pylist()]
+                closed = [sentences(t) for t in piece.column(1).to_pylist()]
+                texts = [[words(s) for s in (c or (sentences(t, False) if open_too else ()))] for c, t in zip(closed, piece.column(1).to_pylist())]
                 lang, margin = judge([w for t in texts for w in t])
                 out: list[list] = [[] for _ in range(6)]
                 labels = [label_of(x) for x in piece.column(2).to_pylist()]
@@ -221,7 +223,7 @@ def judged(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
                             part, last = part + 1, g
                             for column, v in zip(out, (d, part, LANGS[g], 0, 0.0, 0)):
                                 column.append(v)
-                        out[3][-1] += 1
+                        out[3][-1] += bool(closed[d])
                         out[4][-1] += m
                         out[5][-1] += len(w)
                 ids = piece.column(0).take(pa.array(out[0], pa.int64()))
@@ -234,11 +236,13 @@ def judged(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """(id column, part, lang, sentences, confidence): each document's segments with their languages.
 
-    The confidence is 1 - 2**(-bits for each word by which the second language codes the segment longer). Documents that
-    are null, blank or without a whole sentence (tool logs) have no segment; repeated rows come out repeated.
+    The confidence is 1 - 2**(-bits for each word by which the second language codes the segment longer), half of that for
+    text without a single closed sentence. Null and blank documents and those whose lines hold no language (tool logs) have no
+    segment; repeated rows come out repeated.
     """
-    s = judged(docs, train(docs, id_col, text_col, label_col), id_col, text_col, label_col)
-    return s.select(id_col, "part", "lang", "sentences", F.round(1 - F.pow(F.lit(2.0), -F.col("bits") / F.col("words")), 4).alias("confidence"))
+    s = judged(docs, train(docs, id_col, text_col, label_col), id_col, text_col, label_col, open_too=True)
+    sure = (1 - F.pow(F.lit(2.0), -F.col("bits") / F.col("words"))) * F.when(F.col("sentences") > 0, 1.0).otherwise(0.5)
+    return s.select(id_col, "part", "lang", "sentences", F.round(sure, 4).alias("confidence"))
 
 
 def document_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

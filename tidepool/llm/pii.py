@@ -24,6 +24,8 @@ from tidepool.llm.textform import DROPPED, HYPHENS, LOOKALIKES, SPACES
 ROWS = 2_000
 #: Mentions beside known names, and names of the other kind beside it, from which a word counts as a name.
 BESIDE, PARTNERS = 3, 2
+#: Counts a worker holds before it hands them on.
+HELD = 200_000
 #: A name that stands in a person's name in less than this part of its occurrences is also an ordinary word.
 ORDINARY = 0.3
 
@@ -37,6 +39,12 @@ SPELLED = dict(zip("zero oh one two three four five six seven eight nine".split(
 
 _L, _R = r"(?<![A-Za-z0-9_./@+-])", r"(?![A-Za-z0-9_@])"
 _DISGUISE = re.compile(r"\s?[\[({<]\s?(at|dot)\s?[\])}>]\s?|(?<=[A-Za-z0-9]) ?(@) ?(?=[A-Za-z0-9-]+(?:\.|\s?[\[(]))", re.I)
+# Last parts of a domain by which an address spelled out without brackets is known.
+_ENDINGS = "com|org|net|edu|gov|io|info|example|test|invalid|de|fr|es|it|uk|cn|ru|eu"
+#: An address spelled out in words: the part before the sign has a dot, a digit, a mark or is followed by a domain of three parts.
+_SPELLED_OUT = re.compile(
+    rf"(?<![\w.@+-])(?:[A-Za-z0-9_+-]+ dot (?:[A-Za-z0-9_+-]+ dot )*[A-Za-z0-9_+-]+|[A-Za-z]*[0-9_+.-][A-Za-z0-9_+.-]*[A-Za-z0-9]) at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot (?:{_ENDINGS})(?![\w@])", re.I
+)
 _DIGIT_WORDS = re.compile(r"\b(?:(?:%s)[ -]){3,}(?:%s)\b" % ("|".join(SPELLED), "|".join(SPELLED)), re.I)
 #: Cheap signs that the expensive patterns may match; each is implied by a match.
 _HINTS = tuple(f"{left}{blank}{word}" for left in "[({<" for blank in ("", " ") for word in ("at", "dot"))
@@ -67,6 +75,8 @@ ADDRESS = re.compile(
     r"|(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|Camino|Carrera|Ronda|Travesia|Via|Viale|Piazza|Corso)(?: (?:de la|de los|del|de|la))? ?[A-Z][A-Za-z-]+,? \d{1,4}\b(?:, (?:bajo|\d{1,2}[oa]? ?[A-Z]?\b))?)",
     re.I,
 )
+#: A count of common things ("12 stale rows", "3 big drive"): an English street has its own name with a capital letter.
+_UNNAMED = re.compile(r"\d{1,5}(?:-\d+)? [a-z' -]+$")
 ZH_ADDRESS = re.compile(r"[一-鿿]{2,24}?(?:路|街|大道|巷|道|弄)\d+号(?:\d+[栋幢座])?(?:\d+室)?")
 _ZH_LEAD = re.compile(r"^.*[到在于往至是址给]|^.*(?:寄往|送到)")
 _WORD = re.compile(r"[A-Za-z]+(?:['’][A-Za-z]+)?")
@@ -123,6 +133,9 @@ def undisguised(text: str, places: list[int] | None) -> tuple[str, list[int] | N
     if "@" in text or any(h in low for h in _HINTS):
         edits = [(m.start(), m.end(), "." if (m[1] or "").lower() == "dot" else "@") for m in _DISGUISE.finditer(text)]
         edits = [e for e in edits if text[e[0] : e[1]] != e[2]]
+    if " at " in low and " dot " in low:
+        for m in _SPELLED_OUT.finditer(text):
+            edits += [(m.start() + x.start(), m.start() + x.end(), "@" if x[1].lower() == "at" else ".") for x in re.finditer(r" (at|dot) ", m[0], re.I)]
     if sum(w in low for w in SPELLED) > 1:
         for m in _DIGIT_WORDS.finditer(text):
             edits.append((m.start(), m.end(), "".join(SPELLED[w] for w in re.split(r"[ -]", m[0].lower()))))
@@ -269,7 +282,8 @@ def mentions(text: str | None, names: Names) -> list[tuple[str, int, int]]:
                 take("phone", m.start(), m.end())
         if not lows.isdisjoint(_ROADS) or "C/" in flat or _GERMAN.search(flat):
             for m in list(ADDRESS.finditer(flat)):
-                take("address", m.start(), m.end())
+                if not _UNNAMED.match(m[0]):
+                    take("address", m.start(), m.end())
         if "号" in flat:
             for m in list(ZH_ADDRESS.finditer(flat)):
                 lead = _ZH_LEAD.match(m[0])
@@ -300,7 +314,7 @@ def _evidence(texts: Iterable[str | None], given: set[str], family: set[str]) ->
     for text in texts:
         if not text:
             continue
-        flat, _ = plain(text)
+        flat, _ = undisguised(*plain(text))
         flat = EMAIL.sub(" \x00 ", flat)
         ws = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(flat)]
         seen.update(w for _, _, w in ws)
@@ -338,17 +352,25 @@ def learned(texts: DataFrame, lexicon: DataFrame, text_col: str = "text") -> Nam
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+
+        def held() -> pa.RecordBatch:
+            w, r, o = zip(*total) if total else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(r, pa.string()), pa.array(o, pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "role", "other", "n"])
+
         for batch in batches:
             total.update(_evidence(batch.column(0).to_pylist(), given, family))
-        w, r, o = zip(*total) if total else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(r, pa.string()), pa.array(o, pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "role", "other", "n"])
+            if len(total) > HELD:
+                yield held()
+                total.clear()
+        yield held()
 
     counts = texts.select(text_col).mapInArrow(count, "word string, role string, other string, n bigint")
     sums = counts.groupBy("word", "role").agg(F.sum("n").alias("n"), F.countDistinct("other").alias("others"))
     by = sums.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("role", F.struct("n", "others")))).alias("stats"))
-    strong = F.exists(F.map_values("stats"), lambda x: x["others"] >= PARTNERS) | F.col("word").isin(*sorted(given | family))
+    strong = F.exists(F.map_values("stats"), lambda x: (x["others"] >= PARTNERS) & (x["n"] >= BESIDE))
+    known = F.broadcast(lexicon.where("name is not null").select(F.lower(F.trim("name")).alias("word"), F.lit(True).alias("known")).distinct())
     stats: dict[str, dict] = defaultdict(dict)
-    for word, s in by.where(strong).collect():
+    for word, s, _ in by.join(known, "word", "left").where(strong | F.col("known")).collect():
         stats[word] = {k: (v["n"], v["others"]) for k, v in s.items()}
     none = (0, 0)
     names = Names(set(given), set(family))

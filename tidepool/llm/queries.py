@@ -21,6 +21,10 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_texts(table(spark, d, "dream_memory"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.lookalike_classes(table(spark, d, "dream_memory"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     groups = components.match_groups(table(spark, d, "dedup_log"), Scratch(spark, "p2"))
     return groups.select("group_id", "id")
@@ -46,6 +50,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.cross_split_pairs(table(spark, d, "dream_memory"), Scratch(spark, "p5"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.cross_split_classes(table(spark, d, "dream_memory"), Scratch(spark, "p5"))
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Records of val and test per split and source, how many of them are in a pair of ``p5_found``, and the mean fraction of
     their characters shared with the best record of train they are paired with."""
@@ -59,6 +67,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return forest.similar_pairs(table(spark, d, "mem0"), Scratch(spark, "p6"))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return forest.similar_classes(table(spark, d, "mem0"), Scratch(spark, "p6"))
+
+
 def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar vectors of every vector whose id, as a number, is divisible by 50."""
     asks = F.conv(F.substring("id", 29, 8), 16, 10).cast("bigint") % 50 == 0
@@ -85,7 +97,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "probe_items"))
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "probe_items"), Scratch(spark, "p9"))
+
+
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage of 12 words within two word edits of one of the item."""
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "probe_items"), Scratch(spark, "p9"), edits=2, tables=leaks.TABLES)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +113,6 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langs.segments(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_report, p6_found, p6_nearest, p7_found, p7_records, p8_ids, p9_found, p10_found, p10_segments)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p1_classes, p2_found, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_classes, p5_report, p6_found, p6_classes, p6_nearest, p7_found, p7_records, p8_ids, p9_found, p9_near, p10_found, p10_segments)}
 
 ORACLE: dict[str, str] = {}

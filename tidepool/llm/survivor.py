@@ -102,7 +102,7 @@ def choose(candidates: DataFrame, bundles: Sequence[str], rules: Sequence[tuple[
                     if found is None and not any(m is not None for m in more):
                         found = 0.0, [s[0] for s in sets if s]
                     ids.append(g), settled.append(found is not None)
-                    fields.append([] if found is None else list({k: v for c in found[1] for k, v in c[2].items()}.items()))
+                    fields.append([] if found is None else list({k: v for c in found[1] for k, v in c[2].items()}.items()))  # later bundles win
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array(settled)], ["group_id", "fields", "settled"])
 
         kind = candidates.schema["group_id"].dataType.simpleString()
@@ -151,12 +151,41 @@ def survivors(memories: DataFrame, log: DataFrame, groups: DataFrame, scratch: S
     return chosen.select("group_id", f["latest_id"].alias("latest_id"), f["top_id"].alias("top_id"), F.coalesce(f["merge_log_id"].cast("bigint"), F.lit(-1)).alias("merge_log_id"))
 
 
+#: Bundles of a whole record, the one that decides ties first, and what depends on what: a session has one source.
+RECORD, RULES = ("weight", "text", "origin"), (("session_id", "source"),)
+
+
+def record_candidates(memories: DataFrame, log: DataFrame, groups: DataFrame) -> DataFrame:
+    """Candidates of whole records: the bundles origin (time, session and source of one memory) and weight (importance,
+    session and source of one memory) and text, all with a trust from 0 to 1.
+
+    A time's trust is its share of the time from 1970 to the as-of time, an importance is its own trust, and a merged text's
+    grows with its length (n / (n + 200)). Missing and unreadable values have trust 0.
+    """
+    base = memory_candidates(memories, log, groups)
+    m = memories.dropDuplicates(["id"]).select(F.col("id").alias("tie"), F.nullif(F.trim("session_id"), F.lit("")).alias("session_id"), F.nullif(F.lower(F.trim("source")), F.lit("")).alias("source"))
+    both = base.where("bundle <> 'text'").join(m, "tie")
+    time = F.col("bundle") == "time"
+    trust = F.when(F.col("trust") > float("-inf"), F.when(time, F.greatest(F.lit(0.0), F.col("trust")) / F.unix_micros(F.lit(AS_OF).cast("timestamp"))).otherwise(F.col("trust"))).otherwise(0.0)
+    extra = F.map_filter(F.create_map(F.lit("session_id"), "session_id", F.lit("source"), "source"), lambda _, v: v.isNotNull())
+    placed = both.select("group_id", F.when(time, "origin").otherwise("weight").alias("bundle"), F.round(trust, 9).alias("trust"), "tie", F.map_concat("fields", extra).alias("fields"))
+    text = base.where("bundle = 'text'").select("group_id", "bundle", F.round(F.col("trust") / (F.col("trust") + 200), 9).alias("trust"), "tie", "fields")
+    return placed.unionByName(text)
+
+
 def surviving_records(memories: DataFrame, log: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """The survivors with their values: text (the merged text, else that of the heaviest memory), created_at, importance."""
-    s = survivors(memories, log, groups, scratch)
+    """(group_id, latest_id, top_id, merge_log_id, text, created_at, importance, session_id, source): one record for each
+    group, its bundles chosen together under ``RULES``: time, session and source from ``latest_id``, importance from ``top_id``,
+    text from the log row ``merge_log_id``, else from ``top_id``. Two memories of one session that name different sources are
+    never mixed; the pair of the greatest summed trust without such a clash is taken.
+    """
+    chosen = choose(record_candidates(memories, log, groups), RECORD, RULES, scratch)
+    f = F.col("fields")
+    s = chosen.select("group_id", f["latest_id"].alias("latest_id"), f["top_id"].alias("top_id"), F.coalesce(f["merge_log_id"].cast("bigint"), F.lit(-1)).alias("merge_log_id"), f["session_id"].alias("session_id"), f["source"].alias("source"))
     m = memories.dropDuplicates(["id"])
     out = s.join(m.select(F.col("id").alias("latest_id"), instant(F.col("created_at")).alias("created_at")), "latest_id")
     out = out.join(m.select(F.col("id").alias("top_id"), "importance", F.col("text").alias("own_text")), "top_id")
     out = out.join(log.select(F.col("id").alias("merge_log_id"), "merged_text"), "merge_log_id", "left")
     weight = F.when(F.col("importance").between(0, 1), F.col("importance"))
-    return out.select("group_id", F.coalesce(F.trim("merged_text"), "own_text").alias("text"), F.when(F.col("created_at") <= F.lit(AS_OF).cast("timestamp"), F.col("created_at")).alias("created_at"), weight.alias("importance"))
+    at = F.when(F.col("created_at") <= F.lit(AS_OF).cast("timestamp"), F.col("created_at"))
+    return out.select("group_id", "latest_id", "top_id", "merge_log_id", F.coalesce(F.trim("merged_text"), "own_text").alias("text"), at.alias("created_at"), weight.alias("importance"), "session_id", "source")
