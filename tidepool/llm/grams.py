@@ -18,7 +18,7 @@ from tidepool.llm.textform import consistent
 from tidepool.runtime import Scratch
 
 #: Counters by which features are counted; what reaches the driver is at most that many sums.
-SLOTS = 1 << 18
+SLOTS, BLOCK = 1 << 20, 1 << 12
 #: Occurrences up to which no feature is frequent: so few texts may share any tile.
 COMMON = 64
 #: Texts whose features are taken at once, and known texts a worker remembers to pass over their copies.
@@ -51,13 +51,14 @@ def text_classes(df: DataFrame, scratch: Scratch, id_col: str = "id", text_col:
 
 
 class Frequent:
-    """Numbers of occurrences of the frequent features, 0 for all others. A feature is frequent if its counter has more than
+    """Ranks of the frequent features by number of occurrences, 0 for all others. A feature is frequent if its counter has more than
     one in ``share`` of all occurrences, and more than ``COMMON``. A counter has one in ``SLOTS`` on average, so as long as ``share`` is well below that
     number, rare features that share a counter don't become frequent, at any size of the corpus; those that share one with
     a frequent feature do, in all texts alike."""
 
     def __init__(self, total: np.ndarray, share: int):
-        self.n = np.where((total * share > total.sum()) & (total > COMMON), total, 0)
+        rank = 4 * np.log2(np.maximum(total, 1))
+        self.n = np.where((total * share > total.sum()) & (total > COMMON), rank, 0).astype(np.uint8)
 
     def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
         return self.n[(hashes % np.uint64(SLOTS)).astype(np.int64)]
@@ -72,13 +73,19 @@ def frequent(forms: DataFrame, features: Callable[[list[str]], np.ndarray], shar
             for at in range(0, batch.num_rows, ROWS):
                 hashes = features(batch.column(0).slice(at, ROWS).to_pylist())
                 total += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
+        blocks = total.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "n"])
 
-    sums = forms.select("form").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(SLOTS, np.int64)
-    total[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    return Frequent(total, share)
+    def add(group: pa.Table) -> pa.Table:
+        n = np.sum([np.frombuffer(b, np.int64) for b in group["n"].to_pylist()], axis=0)
+        return pa.table({"block": group["block"].slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
+
+    total = np.zeros((SLOTS // BLOCK, BLOCK), np.int64)
+    sums = forms.select("form").mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").toArrow()
+    for block, n in zip(sums["block"].to_pylist(), sums["n"].to_pylist()):
+        total[block] = np.frombuffer(n, np.int64)
+    return Frequent(total.reshape(-1), share)
 
 
 def sampled(doc: np.ndarray, digest: np.ndarray, known: Frequent, fewest: int, part: int) -> np.ndarray:
@@ -94,15 +101,13 @@ def sampled(doc: np.ndarray, digest: np.ndarray, known: Frequent, fewest: int, p
     return np.sort(order[place < np.maximum(fewest, number // part)[d]])
 
 
-def anchors(doc: np.ndarray, digest: np.ndarray, steps: tuple[int, ...] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key) of features that stand next to each other, or next but one, among those their text is sampled by,
-    in either order; the single features of texts with less than three."""
+def anchors(doc: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) of features that stand next to each other among those their text is sampled by, in either order;
+    the single features of texts with less than three."""
     few = np.bincount(doc, minlength=1)[doc] < 3
-    docs, keys = [doc[few]], [digest[few] * np.uint64(3)]
-    for step in steps:
-        a, b, same = digest[:-step], digest[step:], doc[:-step] == doc[step:]
-        docs.append(doc[:-step][same]), keys.append(((a ^ b) * _MIX + np.minimum(a, b))[same])
-    return np.concatenate(docs), np.concatenate(keys).view(np.int64)
+    a, b, same = digest[:-1], digest[1:], doc[:-1] == doc[1:]
+    keys = ((a ^ b) * _MIX + np.minimum(a, b))[same]
+    return np.concatenate((doc[few], doc[:-1][same])), np.concatenate((digest[few] * np.uint64(3), keys)).view(np.int64)
 
 
 def unseen(seen: set, key: object) -> bool:
