@@ -1,14 +1,18 @@
 import datetime as dt
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import scores, text
 from tidepool.functions.times import instant
-from tidepool.operators import clusters, graph, proposals, review, similarity, vectors
-from tidepool.plans import catalog
+from tidepool.functions import calls
+from tidepool.operators import clusters, components, decisions, graph, proposals, review, similarity, validation, vectors
+from tidepool.plans import catalog, cycle
 from tidepool.runtime import Scratch
+from tidepool.sources import store
+from tidepool.streaming import streams
 
 
 def one(spark, column):
@@ -145,3 +149,151 @@ def test_valid_entity(spark):
     names = ["KD", "ab", "the", "12-3", "aaaa", "running", "Krona", "x"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r.n for r in df.where(text.valid_entity(F.col("n"))).collect()} == {"KD", "Krona"}
+
+
+def links(spark, n=40, m=45, seed=4):
+    rng = random.Random(seed)
+    pairs = [(f"{rng.randrange(n):03d}", f"{rng.randrange(n):03d}") for _ in range(m)]
+    return pairs, spark.createDataFrame([*pairs, (None, "001"), ("002", "002"), pairs[0], pairs[0][::-1]], "a string, b string")
+
+
+def test_components_and_leaders_equal_one_by_one(spark):
+    pairs, df = links(spark)
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    root, leader = {}, {}
+    for x in sorted(near):
+        todo = [x]
+        while todo:
+            y = todo.pop()
+            if y not in root:
+                root[y] = x
+                todo += near[y]
+        mine = [o for o in sorted(near[x]) if leader.get(o) == o]
+        leader[x] = mine[0] if mine else x
+    assert {r.id: r.root for r in components.components(df, Scratch(spark, "t")).collect()} == root
+    assert {r.id: r.leader for r in components.leaders(df, Scratch(spark, "t")).collect()} == leader
+    none = df.where("false")
+    assert components.components(none, Scratch(spark, "t")).count() == 0 and components.leaders(none, Scratch(spark, "t")).count() == 0
+
+
+def test_full_cascade(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [("1", "see KD-1 now"), ("2", "same text"), ("3", "Same  TEXT"), ("4", None), ("5", base), ("6", base.replace("mu", "nu")), ("7", "far away from all of it"), ("8", "another thing"), ("5", base)]
+    close = spark.createDataFrame([("7", "8"), ("2", "7")], "a string, b string")
+    got = {r.id: r.cluster for r in clusters.full_cascade(spark.createDataFrame(rows, "id string, text string"), ("(?i)(KD)-[0-9]+",), close, Scratch(spark, "t")).collect()}
+    assert got["1"] == "topic_kd" and got["2"] == got["3"] and got["2"].startswith("exact_") and got["7"] == got["8"] == "vec_7" and got["5"] == got["6"] == "sim_5" and got["4"] == "sim_4"
+
+
+def test_online_check_and_best_matches(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    stored = spark.createDataFrame([("s", base), ("t", base), ("n", None), ("e", "")], "id string, text string")
+    new = spark.createDataFrame([("a", base.upper() + " "), ("b", base + " xi"), ("c", base.replace("alpha beta", "omega")), ("d", "nothing of the kind"), ("s", base), ("x", None), ("e", "")], "id string, text string")
+    got = {r.id: r.action for r in decisions.online_check(new, stored).collect()}
+    assert got["a"] == got["s"] == "SKIP" and got["d"] == "ADD" and got["e"] == "ADD" and "x" not in got
+    assert {r.id: r.match for r in similarity.best_matches(new, stored, 0.85).collect()}["s"] == "t"
+    for i, t in (("b", base + " xi"), ("c", base.replace("alpha beta", "omega"))):
+        s = similarity.combined(similarity.features(t), similarity.features(base))
+        assert got[i] == ("SKIP" if s >= 0.92 else "MERGE" if s >= 0.85 else "ADD")
+    assert decisions.online_check(new.where("false"), stored).count() == 0
+
+
+def test_validation(spark):
+    held = [("q1", "the quick brown fox jumps over the lazy dog"), ("q2", "a totally different sentence about boats"), ("q3", "short")]
+    rows = [*held, ("r1", "the quick brown fox jumps over a lazy dog"), ("r2", "nothing like it at all, my friend")]
+    schema = "id string, text string"
+    q, r = validation.queries_of(spark.createDataFrame(held, schema)), spark.createDataFrame(rows, schema)
+    gone = spark.createDataFrame([("r1",)], "memory_id string")
+    quick = {x.query: (x.hit, x.outcome) for x in validation.quick(q, r, gone).collect()}
+    assert quick["q1"] == (True, "degraded") and "q3" not in quick
+    s = validation.summary(validation.full(q, r, r)).first()
+    assert (s.n, s.same, s.hard, s.accepted) == (2, 2, 1.0, True)
+    p = validation.probe(spark.createDataFrame(held, schema), r).first()
+    assert (p.query, p.neighbour, p.rejected) == ("q1", "r1", True)
+    assert validation.summary(validation.full(q.where("false"), r, r)).first().accepted
+
+
+def test_patches_budget_and_guard(spark):
+    p = spark.createDataFrame([(1, "a", "archive", None, {"archived": "true", "superseded_by": "k"}), (2, "a", "boost", None, {"archived": "no"}), (3, "b", "boost", None, None)], "seq long, memory_id string, op string, new_text string, patch map<string,string>")
+    m = spark.createDataFrame([(x, "old", False) for x in "abc"], "memory_id string, text string, archived boolean")
+    got = {r.memory_id: r.attrs for r in proposals.adopt(m, p).collect()}
+    assert got == {"a": {"archived": "no", "superseded_by": "k"}, "b": {}, "c": {}}
+    log = spark.createDataFrame([(1, "k" * 36, "r" * 36, 0.95, None), (2, "k" * 36, "s" * 36, 0.95, None)], "id long, kept_id string, removed_id string, similarity double, merged_text string")
+    kept = proposals.from_matches(log, permanent=spark.createDataFrame([("r" * 36,)], "memory_id string"))
+    assert [r.memory_id for r in kept.collect()] == ["s" * 36]
+    assert proposals.budget_left((4, 8), (0, 100), (0, 10)) == 0.5 and proposals.budget_left((9, 8)) == 0.0 and proposals.budget_left((7, 8)) == 0.125
+    assert proposals.depth(0.5) == ("beliefs", "contrast") and proposals.depth(0.16) == ("contrast",) and proposals.depth(0.1) == ()
+    assert [tuple(r) for r in proposals.skipped(p, 0).collect()] == [("archive", 1)] and proposals.removed(p).count() == 1
+
+
+def test_tier_three_keeps_numbers_and_paths(spark):
+    t = dt.datetime(2025, 1, 1)
+    rows = [("a", 2, t, "Release 1.2.3 costs 3.14 dollars at docs/plan.md today. Next one."), ("b", 2, t, "x" * 120 + " " + "y" * 179 + "."), ("c", 2, t, None)]
+    got = {r.memory_id: r.text for r in review.degraded(spark.createDataFrame(rows, "memory_id string, tier int, created_at timestamp, text string"), F.lit("2025-12-31").cast("timestamp")).collect()}
+    assert got == {"a": rows[0][3], "b": rows[1][3][:200]}
+
+
+def test_shared_neighbours_of_a_hub(spark):
+    e = spark.createDataFrame([("h", f"n{i}", 1.0) for i in range(50)] + [("n0", "n1", 1.0), ("n2", "n3", 1.0)], "src string, dst string, confidence double")
+    got = {(r.src, r.dst): r.shared for r in graph.shared_neighbours(e.select("src", "dst"), e).collect()}
+    assert got[("n0", "n1")] == got[("h", "n0")] == 1 and len(got) == 6
+
+
+def test_stream_outcomes_close_all_sessions(spark, tmp_path):
+    rows = [(1, dt.datetime(2025, 1, 1, h), k) for h, k in ((0, "view"), (1, "error"), (20, "purchase"))] + [(2, dt.datetime(2025, 1, 1, 20), "view")]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, r.n, r.outcome) for r in streams.outcomes(spark, f"{tmp_path}/events.parquet", Scratch(spark, "t")).collect()}
+    assert got == {(1, 2, "fail"), (1, 1, "success"), (2, 1, "unknown")}
+
+
+def test_calls(spark):
+    asked = []
+
+    def model(prompts):
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, None)], "n long, t string")
+    cache = spark.createDataFrame([(hashlib.sha256(b"default:y").hexdigest()[:24], "cached", dt.datetime(2025, 1, 1))], "prompt_hash string, response string, created_at timestamp")
+    got = {r.n: r.answer for r in calls.answered(df, F.col("t"), model, cache=cache, as_of=F.lit("2025-01-01 12:00:00").cast("timestamp")).collect()}
+    assert got == {1: "X", 2: "cached", 3: "X", 4: None} and not asked
+    assert {r.answer for r in calls.answered(df, F.col("t"), None).collect()} == {None}
+    assert calls.tolerant_json('so: {"a": [1]} end') == {"a": [1]} and calls.tolerant_json("```json\n[1, 2]\n```") == [1, 2] and calls.tolerant_json("none") is None and calls.tolerant_json(None) is None
+    assert one(spark, calls.merged_text(F.array(F.lit("ab"), F.lit("abc")), F.lit(None).cast("string"))) == "abc" and one(spark, calls.verdict(F.lit("I say extend it"))) == "EXTEND"
+    rows = spark.createDataFrame([("k", f"{i:08d}", f"text {i}", "2025-01-01T00") for i in range(60)], "cluster string, id string, text string, created_at string")
+    prompt = calls.cluster_prompt(rows).first().prompt
+    assert prompt.startswith("[00000000] (2025-01-01) text 0\n") and prompt.count("\n") == 49
+
+
+def test_store(spark, tmp_path):
+    p = spark.createDataFrame([(1, "a", "update_text", "new", {"k": "v"}), (2, "b", "delete", None, None)], "seq long, memory_id string, op string, new_text string, patch map<string,string>")
+    m = spark.createDataFrame([(x, "old", False) for x in "abc"], "memory_id string, text string, archived boolean")
+    root = f"{tmp_path}/staging"
+    path, refused = store.stage(p, root, 7, True), store.stage(p, root, 8, False)
+    assert {r.memory_id: (r.text, r.attrs) for r in store.adopt(m, path, 7).collect()} == {"a": ("new", {"k": "v"}), "c": ("old", {})}
+    with pytest.raises(ValueError, match="rejected"):
+        store.adopt(m, refused, 8)
+    assert {tuple(r) for r in store.staging_status(spark, root).select("run_id", "proposals", "accepted", "adopted").collect()} == {(7, 2, True, True), (8, 2, False, False)}
+    assert spark.read.parquet(f"{path}/backup").count() == 2
+    store.append(m, f"{tmp_path}/log", 7), store.append(m, f"{tmp_path}/log", 8)
+    assert spark.read.parquet(f"{tmp_path}/log").groupBy("dream_run_id").count().count() == 2
+    (tmp_path / "pages/sub").mkdir(parents=True)
+    (tmp_path / "pages/a.md").write_text("---\ntitle: A\ndata_freshness: \"stale\"\n---\n# A"), (tmp_path / "pages/sub/b.txt").write_text("plain"), (tmp_path / "pages/README.md").write_text("x"), (tmp_path / "pages/c.png").write_text("x")
+    assert {(r.name, r.freshness) for r in store.pages(spark, f"{tmp_path}/pages").collect()} == {("a.md", "stale"), ("b.txt", None)}
+    assert one(spark, store.stale_daily(F.lit("x/daily/2025-01-01.md"), F.lit("2025-12-31").cast("date"))) and not one(spark, store.stale_daily(F.lit("x/b.md"), F.lit("2025-12-31").cast("date")))
+    stub = one(spark, store.page_stub(F.lit("KD"), F.lit("projects"), F.array(F.lit("a"), F.lit("b")), F.lit("fresh"), F.lit("About."), "2025-12-31"))
+    assert "tags: [a, b]" in stub and one(spark, store.frontmatter(F.lit(stub), "data_freshness")) == "fresh"
+
+
+def test_graph_targets_and_boost(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0), ("a", "d", 1.0)], "src string, dst string, confidence double")
+    labels = spark.createDataFrame([(x, "l") for x in "abcdz"], "node string, label string")
+    assert {tuple(r) for r in graph.teleports(labels.where("node = 'a'"), labels, e).collect()} == {("a", "c")}
+    rows = spark.createDataFrame([("1", "Cache and index"), ("2", "index the cache"), ("2", "cache"), ("3", None)], "cluster string, text string")
+    got = {(r.src, r.dst): (r.clusters, r.rows, r.boost) for r in graph.boosted(spark.createDataFrame([("cache", "index"), ("no", "such")], "src string, dst string"), rows).collect()}
+    assert got == {("cache", "index"): (2, 2, True), ("no", "such"): (0, 0, False)}
+
+
+def test_every_query_has_a_function():
+    assert set(cycle.ORACLE) <= set(cycle.QUERIES) and "hybrid_recall" in cycle.ORACLE

@@ -17,8 +17,8 @@ def text_hash(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Distinct words between white space, in lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    """Distinct words between white space of any script, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != ""))
 
 
 def ngrams(text: Column, n: int = 3) -> Column:

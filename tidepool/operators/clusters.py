@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import text_hash
+from tidepool.operators.components import components, leaders
+from tidepool.operators.similarity import similar_texts
+from tidepool.runtime import Scratch
 
 
 def equal_groups(rows: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -23,9 +26,30 @@ def topic_key(text: Column, patterns: Sequence[str]) -> Column:
 
 def cascade(rows: DataFrame, patterns: Sequence[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, cluster): by topic key (``topic_``), else by equal text (``exact_``) where at least two rows share it, else
-    alone (``sim_``). Null texts stand alone. One pass: the size of a text's group comes from an aggregate joined back."""
+    alone (``sim_``). Null texts stand alone. One pass: the size of a text's group comes from an aggregate joined back.
+    These are the first two phases; ``full_cascade`` has all four."""
     keyed = rows.select(F.col(id_col).alias("id"), topic_key(F.col(text_col), patterns).alias("topic"), text_hash(F.col(text_col)).alias("h"))
     rest = keyed.where("topic = ''")
     twins = rest.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     label = F.when(F.col("n").isNotNull(), F.concat(F.lit("exact_"), "h")).otherwise(F.concat(F.lit("sim_"), "id"))
     return keyed.where("topic <> ''").select("id", F.concat(F.lit("topic_"), "topic").alias("cluster")).unionByName(rest.join(twins, "h", "left").select("id", label.alias("cluster")))
+
+
+def full_cascade(rows: DataFrame, patterns: Sequence[str], close: DataFrame | None, scratch: Scratch, similarity: float = 0.70) -> DataFrame:
+    """(id, cluster): each row (id, text) goes to the first phase it fits: its topic key (``topic_``), an equal text
+    (``exact_``, two rows at least), a component of close vectors (``vec_`` and its smallest id, two rows at least), the first
+    leader by id whose text is similar (``sim_`` and the leader's id). Rows that nothing joins lead themselves.
+
+    ``close``: pairs (a, b) of ids with close vectors; links to rows that an earlier phase took don't count.
+    """
+    two = scratch.save(cascade(rows.select("id", "text").dropDuplicates(["id"]), patterns), "two")
+    rest = two.where(F.col("cluster").startswith("sim_")).select("id")
+    done = two.where(~F.col("cluster").startswith("sim_"))
+    if close is not None:
+        inside = close.join(rest.select(F.col("id").alias("a")), "a", "left_semi").join(rest.select(F.col("id").alias("b")), "b", "left_semi")
+        vec = scratch.save(components(inside, scratch).select("id", F.concat(F.lit("vec_"), "root").alias("cluster")), "vec")
+        done, rest = done.unionByName(vec), rest.join(vec, "id", "left_anti")
+    texts = rows.select("id", "text").dropDuplicates(["id"]).join(rest, "id", "left_semi")
+    led = leaders(similar_texts(texts, similarity), scratch)
+    alone = rest.join(led, "id", "left").select("id", F.concat(F.lit("sim_"), F.coalesce("leader", "id")).alias("cluster"))
+    return done.unionByName(alone)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import lexicons
@@ -50,14 +50,21 @@ def neighbours(rows: DataFrame, reach: int) -> DataFrame:
 
 def degraded(memories: DataFrame, as_of: Column, second: int = 30, third: int = 180) -> DataFrame:
     """(memory_id, tier, text): memories old enough for the next tier with their shorter text. The second tier has at most
-    400 characters, cut after the last full stop beyond 200; the third keeps sentences with a digit or an acronym, or of
-    less than 80 characters, while they fit 200."""
+    400 characters, cut after the last full stop beyond 200; the third keeps the sentences with a digit or an acronym, or of
+    less than 80 characters, that still fit 200, and the first 200 characters if none does. A sentence ends at its mark only
+    before white space, so numbers and paths stay whole."""
     age = F.datediff(as_of, "created_at")
     head = F.substring("text", 1, 400)
     stop = F.length(F.regexp_extract(head, r"(?s)^(.*\.)", 1))
     shorter = F.when(F.length("text") <= 400, F.col("text")).otherwise(F.when(stop > 200, F.substring(head, F.lit(1), stop)).otherwise(head))
-    parts = F.filter(F.split("text", r"(?<=[.。!?])\s*"), lambda s: s.rlike(r"\d|[A-Z]{2,}") | (F.length(s) < 80))
-    joined = F.aggregate(parts, F.lit(""), lambda acc, s: F.when(F.length(acc) + F.length(s) + 1 <= 200, F.when(acc == "", s).otherwise(F.concat(acc, F.lit(" "), s))).otherwise(acc))
+    parts = F.filter(F.split("text", r"(?<=[.。!?])\s+"), lambda s: s.rlike(r"\d|[A-Z]{2,}") | (F.length(s) < 80))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(200).alias("left"))
+
+    def take(acc: Column, s: Column) -> Column:
+        return F.when(F.length(s) <= acc["left"], F.struct(F.array_append(acc["kept"], s).alias("kept"), (acc["left"] - F.length(s)).alias("left"))).otherwise(acc)
+
+    kept = F.aggregate(parts, start, take, lambda acc: acc["kept"])
+    joined = F.when(F.size(kept) > 0, F.substring(F.array_join(kept, " "), 1, 200)).otherwise(F.substring("text", 1, 200))
     two = memories.where((F.col("tier") == 1) & (age > second) & (F.length("text") >= 100)).select("memory_id", F.lit(2).alias("tier"), shorter.alias("text"))
     three = memories.where((F.col("tier") == 2) & (age > third) & (F.length("text") >= 30)).select("memory_id", F.lit(3).alias("tier"), joined.alias("text"))
     return two.unionByName(three)
@@ -70,3 +77,29 @@ def trigger(memories: DataFrame, log: DataFrame, as_of: Column) -> DataFrame:
     reasons = F.concat_ws(",", F.when(F.col("new") >= 10, "new"), F.when(F.col("density") >= 0.3, "conflicts"), F.when(F.col("conc") >= 0.9, "concentration"))
     urgency = F.when((F.col("new") >= 30) | (F.col("density") >= 0.3), "high").when((F.col("new") >= 10) | (F.col("conc") >= 0.9), "medium").otherwise("none")
     return m.join(F.broadcast(c)).select(reasons.alias("reasons"), urgency.alias("urgency"))
+
+
+def run_health(total: Column, archived: Column, pages: Column, clusters: Column, contradictions: Column, deduped: Column, inferred: Column) -> Column:
+    """Health of a run from 0 to 100: freshness, coverage, coherence, efficiency and reachability in fixed weights."""
+    n = F.greatest(total, F.lit(1))
+    part = lambda x: F.least(F.lit(1.0), x)
+    whole = 0.25 * part((total - archived) / n) + 0.25 * part(pages / F.greatest(clusters, F.lit(1))) + 0.20 * part(1 - contradictions / n) + 0.15 * part(1 - deduped / n)
+    return F.round(100 * (whole + 0.15 * part(inferred / F.greatest(total * 0.5, F.lit(1.0)))), 1)
+
+
+def as_memories(signals: DataFrame, per_type: int = 5) -> DataFrame:
+    """(id, text, importance): the first signals of each type (id, signal, text) as memories of their own."""
+    order = Window.partitionBy("signal").orderBy("id")
+    few = signals.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= per_type)
+    weight = F.when(F.col("signal") == "identity", 0.85).otherwise(0.5)
+    return few.select(F.concat_ws("_", F.lit("signal"), "signal", "id").alias("id"), F.concat(F.lit("["), "signal", F.lit("] "), F.substring("text", 1, 300)).alias("text"), weight.alias("importance"))
+
+
+def query_matches(memories: DataFrame, queries: DataFrame, most: int = 200) -> DataFrame:
+    """(memory_id, hits, queries): for each memory (memory_id, text) the queries (query, n) of whose words of more than two
+    characters at least half are part of its text: their summed counts and their number. The queries are the ``most`` most
+    frequent ones, sent to all executors."""
+    some = queries.where("query is not null").orderBy(F.desc("n"), "query").limit(most)
+    some = some.select("n", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 2).alias("words")).where(F.size("words") > 0)
+    met = F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w))) >= 0.5 * F.size("words")
+    return memories.join(F.broadcast(some), met).groupBy("memory_id").agg(F.sum("n").alias("hits"), F.count("*").alias("queries"))

@@ -39,8 +39,16 @@ def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_co
     word among the first n - ceil(J n) + 1 of each in one order of all words, rare ones first. Equal texts are compared
     once. Texts without words reach nothing.
     """
-    least = (threshold - 0.6) / 0.4
     classes = rows.where(F.col(text_col).isNotNull()).groupBy(F.lower(text_col).alias("t")).agg(F.min(id_col).alias("lead"), F.count("*").alias("copies"))
+    near = near_classes(classes, threshold)
+    twins = classes.where("copies > 1").select(F.col("lead").alias("a"), "t", F.lit(1.0).alias("similarity"))
+    members = rows.select(F.col(id_col).alias("b"), F.lower(text_col).alias("t"))
+    return near.unionByName(twins.join(members, "t").where("a <> b").select("a", "b", "similarity"))
+
+
+def near_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): pairs of the classes (lead, t) of different texts that reach the threshold, by their leads."""
+    least = (threshold - 0.6) / 0.4
     toks = classes.select("lead", words(F.col("t")).alias("w")).where(F.size("w") > 0)
     each = toks.select("lead", F.size("w").alias("n"), F.explode("w").alias("word"))
     df = each.groupBy("word").agg(F.count("*").alias("df"))
@@ -51,10 +59,25 @@ def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_co
     pairs = a.join(b, "word").where(like).select("a", "b").distinct()
     texts = classes.select("lead", "t")
     full = pairs.join(texts.select(F.col("lead").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("lead").alias("b"), F.col("t").alias("tb")), "b")
-    near = full.select("a", "b", F.round(combined_similarity("ta", "tb"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    twins = classes.where("copies > 1").select(F.col("lead").alias("a"), "t", F.lit(1.0).alias("similarity"))
-    members = rows.select(F.col(id_col).alias("b"), F.lower(text_col).alias("t"))
-    return near.unionByName(twins.join(members, "t").where("a <> b").select("a", "b", "similarity"))
+    return full.select("a", "b", F.round(combined_similarity("ta", "tb"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def best_matches(new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """(id, match, similarity): for each new text (id, text) the most similar stored one of another id that reaches the
+    threshold (above 0.6), ties to the smaller id. Each different text is compared once, whatever its copies."""
+    low = lambda df, name: df.where("text is not null").select(F.col("id").alias(name), F.lower("text").alias("t"))
+    both = low(new, "id").withColumn("new", F.lit(True)).unionByName(low(stored, "id").withColumn("new", F.lit(False)))
+    classes = both.groupBy("t").agg(F.min("id").alias("lead"), F.max("new").alias("has_new"), F.max(~F.col("new")).alias("has_stored"))
+    near = near_classes(classes.select("t", "lead"), threshold)
+    near = near.select("a", "b", "similarity").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    same = classes.where("has_new and has_stored and t <> ''").select(F.col("lead").alias("a"), F.col("lead").alias("b"), F.lit(1.0).alias("similarity"))
+    x = low(new, "id").join(classes.select("t", F.col("lead").alias("a")), "t").select("id", "a")
+    y = low(stored, "match").join(classes.select("t", F.col("lead").alias("b")), "t").select("match", "b")
+    # of a class of stored copies the two smallest ids are enough: one of them isn't the new id itself
+    y = y.groupBy("b").agg(F.min("match").alias("one"), F.max("match").alias("other"))
+    met = x.join(near.unionByName(same), "a").join(y, "b").select("id", "similarity", F.when(F.col("one") != F.col("id"), F.col("one")).otherwise(F.nullif("other", "id")).alias("match")).where("match is not null")
+    best = met.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "match")).alias("m"))
+    return best.select("id", F.col("m.match").alias("match"), (-F.col("m.d")).alias("similarity"))
 
 
 def top_similar(asked: DataFrame, rows: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:

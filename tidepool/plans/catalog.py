@@ -79,7 +79,8 @@ both("hash_clusters", "SELECT text_hash, count(*) AS n, min(memory_id) AS first_
 both("manifest_stats", "SELECT lower(trim(status)) AS status, count(*) AS n, round(avg(process_count), 6) AS mean_count, count(consolidated_at) AS consolidated FROM {processed_manifest} GROUP BY 1")
 both("match_bands", "SELECT CASE WHEN similarity >= 0.92 THEN 'dedup' WHEN similarity >= 0.85 THEN 'merge' WHEN similarity >= 0.70 THEN 'cluster' ELSE 'below' END AS band, count(*) AS n, count(merged_text) AS merged FROM {dedup_log} GROUP BY 1")
 both("concentration", "SELECT count(*) AS n, round(1 - least(1.0, stddev_pop(length(text)) / avg(length(text))), 6) AS concentration FROM {mem} WHERE text IS NOT NULL")
-both("conflict_density", "SELECT count(*) AS n, round(avg(CASE WHEN merged_text IS NULL THEN 1.0 ELSE 0.0 END), 6) AS density FROM {dedup_log}")
+both("conflict_density", "SELECT count(*) AS n, round(avg(CASE WHEN merged_text IS NULL THEN 1.0D ELSE 0.0D END), 6) AS density FROM {dedup_log}",
+     "SELECT count(*) AS n, round(avg(CASE WHEN merged_text IS NULL THEN 1.0 ELSE 0.0 END), 6) AS density FROM dedup_log")
 both("days_per_session", "SELECT session_id, count(*) AS n, count(DISTINCT substring(created_at, 1, 10)) AS days FROM {flight} GROUP BY session_id")
 both("best_of_session", "SELECT session_id, id, importance FROM (SELECT session_id, id, importance, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN importance BETWEEN 0 AND 1 THEN importance ELSE -1 END DESC, id) AS pos FROM {flight} WHERE session_id IS NOT NULL) WHERE pos = 1 AND importance BETWEEN 0 AND 1")
 both("node_degree", "SELECT node, count(*) AS degree FROM (SELECT src AS node FROM {edges} UNION ALL SELECT dst FROM {edges}) GROUP BY node")
@@ -353,7 +354,14 @@ def vector_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 # tiers, health, streams
-@query()
+_SENTENCES = "string_split(regexp_replace(text, '([.。!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_KEPT = f"list_filter({_SENTENCES}, lambda s: regexp_matches(s, '[0-9]|[A-Z][A-Z]') OR length(s) < 80)"
+_FOLD = "list_reduce({kept}, lambda acc, s: {{'t': CASE WHEN length(s) <= acc.left THEN acc.t || CASE WHEN acc.n > 0 THEN ' ' ELSE '' END || s ELSE acc.t END, 'left': CASE WHEN length(s) <= acc.left THEN acc.left - length(s) ELSE acc.left END, 'n': acc.n + CASE WHEN length(s) <= acc.left THEN 1 ELSE 0 END}}, {{'t': '', 'left': 200, 'n': 0}})"
+
+
+@query(f"""SELECT memory_id, 2 AS tier, CASE WHEN length(text) <= 400 THEN text WHEN length(regexp_extract(substring(text, 1, 400), '(?s)^(.*[.])', 1)) > 200 THEN regexp_extract(substring(text, 1, 400), '(?s)^(.*[.])', 1) ELSE substring(text, 1, 400) END AS text
+ FROM mem WHERE tier = 1 AND datediff('day', created_at::date, DATE '2025-12-31') > 30 AND length(text) >= 100
+ UNION ALL SELECT memory_id, 3, CASE WHEN f.n > 0 THEN substring(f.t, 1, 200) ELSE substring(text, 1, 200) END FROM (SELECT memory_id, text, {_FOLD.format(kept=_KEPT)} AS f FROM mem WHERE tier = 2 AND datediff('day', created_at::date, DATE '2025-12-31') > 180 AND length(text) >= 30)""")
 def tier_degrade(spark: SparkSession, d: str) -> DataFrame:
     return review.degraded(memory.memories(spark, d), memory.as_of())
 
@@ -374,17 +382,12 @@ def stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 # health, review and recall as statements
-both("hybrid_recall", f"""SELECT id, round((0.5 * 0.5 + 0.3 * least(1.0, 0.3 + 0.1 * power(2.0, -age / 7)) + 0.2 * imp) * CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.25 END, 6) AS score FROM
- (SELECT f.id, m.tier, CASE WHEN f.importance BETWEEN 0 AND 1 THEN f.importance ELSE 0.5 END AS imp, greatest(0, datediff(DATE '2025-12-31', cast(m.created_at AS date))) AS age FROM {{flight}} f JOIN {{mem}} m ON m.memory_id = f.id)""",
-     """SELECT id, round((0.5 * 0.5 + 0.3 * least(1.0, 0.3 + 0.1 * power(2.0, -age / 7)) + 0.2 * imp) * CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.25 END, 6) AS score FROM
- (SELECT f.id, m.tier, CASE WHEN f.importance BETWEEN 0 AND 1 THEN f.importance ELSE 0.5 END AS imp, greatest(0, datediff('day', cast(m.created_at AS date), DATE '2025-12-31')) AS age FROM flight f JOIN mem m ON m.memory_id = f.id)""")
 both("store_health", """SELECT round(100 * (0.30 * least(1.0, 1.0 * covered / greatest(total, 1)) + 0.25 * (1 - 1.0 * open_pairs / greatest(pairs, 1)) + 0.20 * least(1.0, 1.0 * archived / greatest(total, 1) * 5) + 0.25 * least(1.0, 1.0 * linked / greatest(total, 1))), 4) AS health FROM
  (SELECT (SELECT count(*) FROM {mem}) AS total, (SELECT count(DISTINCT p.memory_id) FROM {processed_manifest} p JOIN {mem} m ON m.memory_id = p.memory_id) AS covered, (SELECT count(*) FROM {dedup_log} WHERE merged_text IS NULL) AS open_pairs, (SELECT count(*) FROM {dedup_log}) AS pairs,
  (SELECT count(*) FROM {mem} WHERE archived) AS archived, (SELECT count(DISTINCT m.memory_id) FROM {mem} m JOIN (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges}) e ON e.node = m.memory_id) AS linked) t""")
 both("suggestion_review", "SELECT source, n, CASE WHEN n < 2 THEN 'rejected' WHEN words < 100 THEN 'needs_enrichment' ELSE 'reviewed' END AS status FROM (SELECT source, count(*) AS n, avg(n_chars) / 6 AS words FROM {documents} WHERE source IS NOT NULL GROUP BY source) t")
 both("conflict_resolution", """SELECT l.id, CASE WHEN a.text IS NULL OR b.text IS NULL THEN 'false_positive' WHEN l.similarity >= 0.92 THEN 'supersede' ELSE 'extend' END AS verdict, CASE WHEN l.similarity >= 0.92 AND a.text IS NOT NULL AND b.text IS NOT NULL THEN CASE WHEN a.created_at <= b.created_at THEN a.memory_id ELSE b.memory_id END END AS archived_id
- FROM {dedup_log} l JOIN {mem} a ON a.memory_id = lower(trim(l.kept_id)) JOIN {mem} b ON b.memory_id = lower(trim(l.removed_id))""")
-both("online_write_check", "SELECT f.id, CASE WHEN EXISTS (SELECT 1 FROM {mem} m WHERE m.text_hash = f.hash AND m.memory_id <> f.id) THEN 'SKIP' ELSE 'ADD' END AS action FROM {flight} f WHERE f.text IS NOT NULL")
+ FROM {dedup_log} l LEFT JOIN {mem} a ON a.memory_id = lower(trim(l.kept_id)) LEFT JOIN {mem} b ON b.memory_id = lower(trim(l.removed_id))""")
 both("contrast_groups", "SELECT signal_type, count(CASE WHEN _outcome = 'success' THEN 1 END) AS good, count(CASE WHEN _outcome = 'fail' THEN 1 END) AS bad FROM {flight} GROUP BY signal_type HAVING count(CASE WHEN _outcome = 'success' THEN 1 END) > 0 AND count(CASE WHEN _outcome = 'fail' THEN 1 END) > 0")
 both("mark_archived", "SELECT p.memory_id, CASE WHEN p.memory_id IN (SELECT lower(trim(removed_id)) FROM {dedup_log} WHERE similarity >= 0.92) THEN 'archived' ELSE lower(trim(p.status)) END AS status FROM {processed_manifest} p")
 both("run_lifecycle", "SELECT id, CASE WHEN error IS NOT NULL THEN 'failed' WHEN finished_at IS NULL THEN 'zombie' ELSE 'done' END AS state FROM {dream_runs}")

@@ -34,8 +34,16 @@ def incremental(spark: SparkSession, path: str, scratch: Scratch, late: str = "6
 
 
 def outcomes(spark: SparkSession, path: str, scratch: Scratch, gap: str = "6 hours") -> DataFrame:
-    """(user_id, started_at, n, outcome): sessions of events separated by a gap, written once the watermark has passed."""
-    rows = _source(spark, path).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark("ts", "1 hour")
-    s = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("neg"), F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("pos"))
+    """(user_id, started_at, n, outcome): sessions of events separated by a gap. A session is written once the watermark has
+    passed it; those still open when the input ends are closed by one last event far ahead, which belongs to nobody."""
+    events = spark.read.parquet(path).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    ends = f"{scratch.root}/ends"
+    events.limit(0).write.parquet(ends)
+    both = _source(spark, path).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").unionByName(spark.readStream.schema(events.schema).parquet(ends))
+    s = both.withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("neg"), F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("pos"))
     outcome = F.when(F.expr("neg = 1 and pos = 0"), "fail").when(F.expr("pos = 1 and neg = 0"), "success").when(F.expr("n >= 3 and neg = 0 and pos = 0"), "mixed").otherwise("unknown")
-    return _drain(s.select("user_id", F.col("w.start").alias("started_at"), "n", outcome.alias("outcome")), scratch, "outcomes")
+    out = s.select("user_id", F.col("w.start").alias("started_at"), "n", outcome.alias("outcome"))
+    _drain(out, scratch, "outcomes")
+    last = events.select(F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("2200-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit("end").cast(events.schema["event_type"].dataType).alias("event_type"))
+    last.limit(1).write.mode("append").parquet(ends)
+    return _drain(out, scratch, "outcomes").where(F.col("started_at") < F.lit("2199-01-01").cast("timestamp"))
