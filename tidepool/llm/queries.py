@@ -100,11 +100,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "probe_items"), Scratch(spark, "p9"))
 
 
-def p9_near(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a passage of 12 words within two word edits of one of the item."""
-    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "probe_items"), Scratch(spark, "p9"), edits=2, tables=leaks.TABLES)
-
-
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langs.mislabelled(table(spark, d, "documents"))
 
@@ -113,6 +108,6 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langs.segments(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p1_classes, p2_found, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_classes, p5_report, p6_found, p6_classes, p6_nearest, p7_found, p7_records, p8_ids, p9_found, p9_near, p10_found, p10_segments)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_texts, p1_classes, p2_found, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p5_classes, p5_report, p6_found, p6_classes, p6_nearest, p7_found, p7_records, p8_ids, p9_found, p10_found, p10_segments)}
 
 ORACLE: dict[str, str] = {}
