@@ -92,6 +92,14 @@ def test_graph(spark):
     assert all(r.src < r.dst and r.hops >= 2 for r in walk.collect())
 
 
+def test_walk_over_edges_without_weight(spark):
+    rows = [("a", "b", 0.0), ("a", "c", 0.0), ("a", "d", -1.0), ("c", "d", None), ("d", "e", float("nan")), ("e", "f", 0.3)]
+    e = spark.createDataFrame(rows, "src string, dst string, confidence double")
+    assert {r.src for r in graph.dream_walk(e, Scratch(spark, "t"), seeds=6, steps=4).collect()} <= set("abcdef")
+    tied = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.5), ("b", "x", 0.0), ("c", "d", 0.5)], "src string, dst string, confidence double")
+    assert "x" not in {n for r in graph.dream_walk(tied, Scratch(spark, "t"), seeds=1, steps=5).collect() for n in (r.src, r.dst)}
+
+
 def test_similar_texts_equal_brute_force(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [("a", base), ("b", base.replace("mu", "nu")), ("c", base.upper()), ("d", "something else entirely"), ("e", None), ("f", ""), ("g", base + " xi")]

@@ -76,15 +76,17 @@ def dream_walk(edges: DataFrame, scratch: Scratch, seeds: int = 5, steps: int =
     """(src, dst, hops): pairs at least two steps apart on weighted random walks from the nodes of the highest degree.
 
     A step picks the neighbour with the greatest log(u) / weight, u a hash of walk, step and edge, less for nodes already
-    visited; the choice is an aggregate with partial combination, and a rerun walks alike.
+    visited; the choice is an aggregate with partial combination, and a rerun walks alike. Edges without a confidence weigh
+    0.5; neighbours without a positive weight are picked, all alike, only where there is no other.
     """
     near = both_ways(edges)
     walk = degrees(edges).orderBy(F.desc("degree"), "node").limit(seeds).select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
     for k in range(steps):
         nexts = walk.join(near, "node")
         u = (F.pmod(F.xxhash64("start", F.lit(k), "nbr", F.lit(seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 2)
-        weight = F.col("confidence") * F.when(F.array_contains("path", F.col("nbr")), 0.37).otherwise(1.0)
-        best = nexts.groupBy("start", "path").agg(F.max_by("nbr", F.struct((F.log(u) / weight).alias("w"), "nbr")).alias("node"))
+        given = F.coalesce(F.nanvl("confidence", F.lit(None).cast("double")), F.lit(0.5))
+        weight = F.when(given > 0, given * F.when(F.array_contains("path", F.col("nbr")), 0.37).otherwise(1.0))
+        best = nexts.groupBy("start", "path").agg(F.max_by("nbr", F.struct(weight.isNotNull().alias("usual"), F.coalesce(F.log(u) / weight, F.log(u)).alias("w"), "nbr")).alias("node"))
         walk = scratch.save(best.select("start", "node", F.concat("path", F.array("node")).alias("path")), "walk")
     pos = walk.select("start", F.posexplode("path").alias("i", "a"))
     pairs = pos.alias("x").join(pos.alias("y"), "start").where("y.i - x.i >= 2 and x.a <> y.a")
