@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import scores, text
 from tidepool.functions.times import instant
 from tidepool.functions import calls
-from tidepool.operators import clusters, components, decisions, graph, proposals, review, similarity, validation, vectors
+from tidepool.operators import blocks, clusters, components, decisions, graph, proposals, review, similarity, validation, vectors
 from tidepool.plans import catalog, cycle
 from tidepool.runtime import Scratch
 from tidepool.sources import store
@@ -117,6 +117,26 @@ def test_similar_texts_equal_brute_force(spark):
     assert {("a", "b"), ("a", "g")} <= set(got) or not {("a", "b"), ("a", "g")} <= set(want)
 
 
+def test_texts_of_common_words_make_few_candidates(spark):
+    rng = random.Random(3)
+    phrases = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(12)) for _ in range(6)]
+    texts = [" ".join(rng.sample(phrases, 2)) + " " + " ".join("".join(rng.choices("klmnopqrst", k=6)) for _ in range(9)) for _ in range(300)]
+    for t in texts[:60]:
+        w = t.split()
+        w[rng.randrange(len(w)) : rng.randrange(len(w)) + 1] = ["changed"] * rng.randrange(1, 4)
+        texts.append(" ".join(w))
+    rows = [(f"{i:04d}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "lead string, t string")
+    sets = [(i, similarity.features(t)) for i, t in rows]
+    for threshold, first in ((0.70, (128, 256)), (0.85, (128, 0))):
+        want = {(i, j) for n, (i, x) in enumerate(sets) for j, y in sets[n + 1 :] if round(similarity.combined(x, y), 6) >= threshold}
+        met = {(r.a, r.b) for r in blocks.candidates(df, None, similarity.MEASURE, threshold, Scratch(spark, "t"), "lead", "t", first).collect()}
+        assert len(want) >= 20 and want <= met and len(met) < 4 * len(want) + 50
+        assert {(r.a, r.b) for r in similarity.similar_texts(df, threshold, "lead", "t").collect()} == want
+        split = blocks.candidates(df.where("lead < '0200'"), df.where("lead >= '0200'"), similarity.MEASURE, threshold, Scratch(spark, "t"), "lead", "t", first)
+        assert {(r.a, r.b) for r in split.collect()} == {p for p in met if p[0] < "0200" <= p[1]}
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, [0.9, 0.1]), (2, 0, [0.0, 1.0]), (3, 1, [1.0, 0.0])], "vec_id long, label int, embedding array<float>")
     near = {(r.vec_id, r.pos): r.nbr for r in vectors.nearest(v.where("vec_id = 0"), v, 2).collect()}

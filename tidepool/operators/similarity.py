@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.functions.text import words
+from tidepool.operators.blocks import Measure, candidates, trigram_keys
+from tidepool.runtime import Scratch
 
 
 def features(text: str) -> tuple[frozenset[str], frozenset[str]]:
@@ -26,6 +29,19 @@ def combined(a: tuple[frozenset, frozenset], b: tuple[frozenset, frozenset]) ->
     return 0.4 * jaccard(a[0], b[0]) + 0.6 * jaccard(a[1], b[1])
 
 
+def _kinds(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features of some texts for bitmaps."""
+    low = [t.lower() for t in texts]
+    known = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in {w for t in low for w in t.split()}}
+    sets = [{known[w] for w in t.split()} for t in low]
+    row = np.repeat(np.arange(len(low)), [len(w) for w in sets])
+    return [(row, np.array([w for s in sets for w in s], np.uint64)), trigram_keys(low)]
+
+
+#: The combined measure, for comparing all pairs.
+MEASURE = Measure(_kinds, (0.4, 0.6), (128, 1024))
+
+
 @F.pandas_udf(T.DoubleType())
 def combined_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     known = {t: features(t) for t in {*left, *right}}
@@ -35,9 +51,8 @@ def combined_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(a, b, similarity): pairs of different ids, a < b, whose texts reach the threshold (above 0.6).
 
-    The combined measure bounds the shared part of the words from below, J >= (t - 0.6) / 0.4, so two such texts share a
-    word among the first n - ceil(J n) + 1 of each in one order of all words, rare ones first. Equal texts are compared
-    once. Texts without words reach nothing.
+    All pairs of different texts are compared by the bitmaps of their words and trigrams, see ``blocks``. Equal texts are
+    compared once. Texts without words reach nothing.
     """
     classes = rows.where(F.col(text_col).isNotNull()).groupBy(F.lower(text_col).alias("t")).agg(F.min(id_col).alias("lead"), F.count("*").alias("copies"))
     near = near_classes(classes, threshold)
@@ -46,19 +61,16 @@ def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_co
     return near.unionByName(twins.join(members, "t").where("a <> b").select("a", "b", "similarity"))
 
 
-def near_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): pairs of the classes (lead, t) of different texts that reach the threshold, by their leads."""
-    least = (threshold - 0.6) / 0.4
-    toks = classes.select("lead", words(F.col("t")).alias("w")).where(F.size("w") > 0)
-    each = toks.select("lead", F.size("w").alias("n"), F.explode("w").alias("word"))
-    df = each.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "word").groupBy("lead", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    prefix = ranked.select("lead", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1)).alias("p")).select("lead", "n", "p.word")
-    a, b = (prefix.select("word", F.col("lead").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    like = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    pairs = a.join(b, "word").where(like).select("a", "b").distinct()
-    texts = classes.select("lead", "t")
-    full = pairs.join(texts.select(F.col("lead").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("lead").alias("b"), F.col("t").alias("tb")), "b")
+def near_classes(classes: DataFrame, threshold: float, others: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity): pairs of the classes (lead, t) of different texts that reach the threshold, by their leads; with
+    ``others`` a of the one and b of the other classes."""
+    scratch = Scratch(classes.sparkSession, "near")
+    classes = scratch.save(classes.select("lead", "t"), "classes")
+    others = None if others is None else scratch.save(others.select("lead", "t"), "classes")
+    # above 0.6 + 0.4 / 2 few texts have words enough in common for another look
+    pairs = scratch.save(candidates(classes, others, MEASURE, threshold, scratch, "lead", "t", first=(128, 0 if threshold > 0.8 else 256)), "pairs")
+    first, second = classes.select(F.col("lead").alias("a"), F.col("t").alias("ta")), (classes if others is None else others).select(F.col("lead").alias("b"), F.col("t").alias("tb"))
+    full = pairs.join(first, "a").join(second, "b")
     return full.select("a", "b", F.round(combined_similarity("ta", "tb"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
@@ -67,9 +79,8 @@ def best_matches(new: DataFrame, stored: DataFrame, threshold: float) -> DataFra
     threshold (above 0.6), ties to the smaller id. Each different text is compared once, whatever its copies."""
     low = lambda df, name: df.where("text is not null").select(F.col("id").alias(name), F.lower("text").alias("t"))
     both = low(new, "id").withColumn("new", F.lit(True)).unionByName(low(stored, "id").withColumn("new", F.lit(False)))
-    classes = both.groupBy("t").agg(F.min("id").alias("lead"), F.max("new").alias("has_new"), F.max(~F.col("new")).alias("has_stored"))
-    near = near_classes(classes.select("t", "lead"), threshold)
-    near = near.select("a", "b", "similarity").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    classes = both.groupBy("t").agg(F.sha2("t", 256).alias("lead"), F.max("new").alias("has_new"), F.max(~F.col("new")).alias("has_stored"))
+    near = near_classes(classes.where("has_new"), threshold, classes.where("has_stored"))
     same = classes.where("has_new and has_stored and t <> ''").select(F.col("lead").alias("a"), F.col("lead").alias("b"), F.lit(1.0).alias("similarity"))
     x = low(new, "id").join(classes.select("t", F.col("lead").alias("a")), "t").select("id", "a")
     y = low(stored, "match").join(classes.select("t", F.col("lead").alias("b")), "t").select("match", "b")
