@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,19 @@ def test_vectors(spark):
     assert {(r.a, r.b) for r in vectors.close_pairs(v, 0.1).collect()} >= {(0, 3)}
 
 
+def test_close_pairs_leave_out_none(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    at = rng.standard_normal((40, 16))
+    v = np.concatenate([at + 0.6 * rng.standard_normal(at.shape) for _ in range(6)])
+    odd = [(1000, [0.0] * 16), (1001, [float("nan")] * 16), (1002, [1.0, 2.0]), (1003, [2.0, 4.0]), (1004, None), (1005, [])]
+    df = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(v)), *odd], "vec_id int, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in np.argwhere(1 - u @ u.T < 0.3) if i < j} | {(1002, 1003)}
+    got = [(r.a, r.b) for r in vectors.close_pairs(df, 0.3).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 300
+
+
 def test_novelty_from_the_nearest_vector(spark, tmp_path):
     v = lambda x, y: [x, y] + [0.0] * 62
     rows = [("a", v(1.0, 0.0)), ("a", v(1.0, 0.0)), ("b", v(3.0, 4.0)), ("c", v(-1.0, 0.0)), ("h", v(2.0, 0.1)), ("d", None), ("e", [1.0]), ("f", v(0.0, 0.0)), ("g", [float("nan")] * 64)]
@@ -207,6 +221,29 @@ def test_components_and_leaders_equal_one_by_one(spark):
     assert components.components(none, Scratch(spark, "t")).count() == 0 and components.leaders(none, Scratch(spark, "t")).count() == 0
 
 
+def test_components_of_wide_graphs_in_few_rounds(spark):
+    rng = random.Random(2)
+    names = [f"{i:06d}" for i in rng.sample(range(10**6), 4000)]
+    pairs = [(names[i], names[i + d]) for i in range(3990) for d in (1, rng.randrange(2, 9)) if i % 1000 < 985]
+    root = {n: n for n in names}
+    for _ in range(4000):
+        last = dict(root)
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+        if last == root:
+            break
+    df = spark.createDataFrame(rng.sample(pairs, len(pairs)), "a string, b string").repartition(8)
+    got = {r.id: r.root for r in components.components(df, Scratch(spark, "t"), max_rounds=6).collect()}
+    assert got == {n: root[n] for p in pairs for n in p}
+
+
+def test_stars_of_a_chain(spark):
+    chain = [(f"{i:05d}", f"{i + 1:05d}") for i in range(3000)]
+    random.Random(2).shuffle(chain)
+    got = components.stars(spark.createDataFrame(chain, "a string, b string").coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == [("00000", f"{i + 1:05d}") for i in range(3000)]
+
+
 def test_full_cascade(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [("1", "see KD-1 now"), ("2", "same text"), ("3", "Same  TEXT"), ("4", None), ("5", base), ("6", base.replace("mu", "nu")), ("7", "far away from all of it"), ("8", "another thing"), ("5", base)]
