@@ -170,6 +170,17 @@ def test_near_pairs_equal_brute_force(spark):
     assert neardup.near_pairs(table(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_near_pairs_of_evenly_edited_texts(spark):
+    """Changes that leave no long sequence as it was."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        t = "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(rng.randrange(150, 500)))
+        rows += [(f"{k:02d}a", t), (f"{k:02d}b", "".join("#" if i % 18 == 9 else c for i, c in enumerate(t)))]
+    want = brute(rows)
+    assert len(want) == 60 and {tuple(r) for r in neardup.near_pairs(table(spark, rows), Scratch(spark, "t")).collect()} == want
+
+
 def test_bound_is_never_below_the_overlap():
     texts = [t for _, t in variants() if t and len(t) > 20]
     size, maps = grams.signatures(texts)
