@@ -54,19 +54,17 @@ def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_co
     All pairs of different texts are compared by the bitmaps of their words and trigrams, see ``blocks``. Equal texts are
     compared once. Texts without words reach nothing.
     """
-    classes = rows.where(F.col(text_col).isNotNull()).groupBy(F.lower(text_col).alias("t")).agg(F.min(id_col).alias("lead"), F.count("*").alias("copies"))
-    near = near_classes(classes, threshold)
-    twins = classes.where("copies > 1").select(F.col("lead").alias("a"), "t", F.lit(1.0).alias("similarity"))
-    members = rows.select(F.col(id_col).alias("b"), F.lower(text_col).alias("t"))
-    return near.unionByName(twins.join(members, "t").where("a <> b").select("a", "b", "similarity"))
+    scratch = Scratch(rows.sparkSession, "texts")
+    classes = scratch.save(rows.where(F.col(text_col).isNotNull()).groupBy(F.lower(text_col).alias("t")).agg(F.min(id_col).alias("lead"), F.count("*").alias("copies")), "classes")
+    near = near_classes(classes, threshold, scratch)
+    twins = classes.where("copies > 1").select(F.col("lead").alias("a"), F.sha2("t", 256).alias("h"), F.lit(1.0).alias("similarity"))
+    members = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("b"), F.sha2(F.lower(text_col), 256).alias("h"))
+    return near.unionByName(twins.join(members, "h").where("a <> b").select("a", "b", "similarity"))
 
 
-def near_classes(classes: DataFrame, threshold: float, others: DataFrame | None = None) -> DataFrame:
+def near_classes(classes: DataFrame, threshold: float, scratch: Scratch, others: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity): pairs of the classes (lead, t) of different texts that reach the threshold, by their leads; with
-    ``others`` a of the one and b of the other classes."""
-    scratch = Scratch(classes.sparkSession, "near")
-    classes = scratch.save(classes.select("lead", "t"), "classes")
-    others = None if others is None else scratch.save(others.select("lead", "t"), "classes")
+    ``others`` a of the one and b of the other classes. The classes are read several times."""
     # above 0.6 + 0.4 / 2 few texts have words enough in common for another look
     pairs = scratch.save(candidates(classes, others, MEASURE, threshold, scratch, "lead", "t", first=(128, 0 if threshold > 0.8 else 256)), "pairs")
     first, second = classes.select(F.col("lead").alias("a"), F.col("t").alias("ta")), (classes if others is None else others).select(F.col("lead").alias("b"), F.col("t").alias("tb"))
@@ -79,8 +77,10 @@ def best_matches(new: DataFrame, stored: DataFrame, threshold: float) -> DataFra
     threshold (above 0.6), ties to the smaller id. Each different text is compared once, whatever its copies."""
     low = lambda df, name: df.where("text is not null").select(F.col("id").alias(name), F.lower("text").alias("t"))
     both = low(new, "id").withColumn("new", F.lit(True)).unionByName(low(stored, "id").withColumn("new", F.lit(False)))
+    scratch = Scratch(new.sparkSession, "matches")
     classes = both.groupBy("t").agg(F.sha2("t", 256).alias("lead"), F.max("new").alias("has_new"), F.max(~F.col("new")).alias("has_stored"))
-    near = near_classes(classes.where("has_new"), threshold, classes.where("has_stored"))
+    classes = scratch.save(classes, "classes")
+    near = near_classes(classes.where("has_new"), threshold, scratch, classes.where("has_stored"))
     same = classes.where("has_new and has_stored and t <> ''").select(F.col("lead").alias("a"), F.col("lead").alias("b"), F.lit(1.0).alias("similarity"))
     x = low(new, "id").join(classes.select("t", F.col("lead").alias("a")), "t").select("id", "a")
     y = low(stored, "match").join(classes.select("t", F.col("lead").alias("b")), "t").select("match", "b")
