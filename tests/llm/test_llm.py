@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.llm import bytebpe, components, crosssplit, forest, grams, langs, leaks, lookalikes, neardup, pii, survivor
+from tidepool.llm import bands, bytebpe, components, crosssplit, forest, grams, langs, leaks, lookalikes, neardup, pii, survivor
 from tidepool.llm.textform import consistent
 from tidepool.runtime import Scratch
 
@@ -181,6 +181,50 @@ def test_near_pairs_of_evenly_edited_texts(spark):
     assert len(want) == 60 and {tuple(r) for r in neardup.near_pairs(table(spark, rows), Scratch(spark, "t")).collect()} == want
 
 
+def sentences(n, times=1, seed=5):
+    """Texts of a few of forty sentences with other names each, every fourth one an edited copy of the one before."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    known = [" ".join(name() for _ in range(6)) for _ in range(40)]
+    out = []
+    for k in range(n):
+        t = list(out[-1]) if k % 4 == 3 else list(". ".join(f"{rng.choice(known)} {name()}" for _ in range(4 * times)))
+        for _ in range(rng.randrange(1, 9 * times) if k % 4 == 3 else 0):
+            t[rng.randrange(len(t))] = rng.choice("xyz#")
+        out.append("".join(t))
+    return out
+
+
+@pytest.mark.parametrize("times", (1, 12))
+def test_bands_leave_no_pair_out_and_little_to_bitmaps(times):
+    """Also for texts whose numbers need two bytes, and with kinds that tell nothing."""
+    texts = sorted(sentences(1200 // times, times), key=lambda t: len(grams.trigrams(t)))
+    row, key = bands.trigram_keys(texts)
+    sets = [set(key[row == k].tolist()) for k in range(len(texts))]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    assert len(want) > 200 // times
+    for keys, kind, top in (bands.kinds(texts), bands.kinds([])):
+        v = bands.numbers(row, key, len(texts), keys, kind)
+        level, maps = bands.levels(v, top), bands.parity(row, key, len(texts), bands.BITS)
+        block = bands.Block(v.sum(axis=1), v.astype(np.uint16), level, maps)
+        assert want <= {(int(a), int(b)) for j, i in bands.alike(block, block, top, 0.7 - 1e-6, True) for a, b in zip(j, i)}
+        low, high = (bands.Block(*(c[part] for c in (v.sum(axis=1), v.astype(np.uint16), level, maps))) for part in (slice(0, 50), slice(50, None)))
+        met = {(int(a), int(b) + 50) for j, i in bands.alike(low, high, top, 0.7 - 1e-6, False) for a, b in zip(j, i)}
+        assert {(a, b) for a, b in want if a < 50 <= b} <= met
+        if len(keys):
+            most, tables = block.tables(0, top, 0.7)
+            limit = most - 0.7 / 1.7 * v.sum(axis=1)[:, None] + 1
+            total = sum(t[level[:, k]].astype(np.int64) for k, t in enumerate(tables))
+            assert tables[0].dtype == (np.uint8 if times == 1 else np.uint16)
+            assert times > 1 or (total <= limit).mean() < 0.1
+
+
+def test_near_pairs_of_sentences_equal_brute_force(spark):
+    rows = [(f"{k:04d}", t) for k, t in enumerate(sentences(400))]
+    want = brute(rows)
+    assert len(want) > 50 and {tuple(r) for r in neardup.near_pairs(table(spark, rows), Scratch(spark, "t")).collect()} == want
+
+
 def test_bound_is_never_below_the_overlap():
     texts = [t for _, t in variants() if t and len(t) > 20]
     size, maps = grams.signatures(texts)

@@ -1,8 +1,8 @@
 """Near-duplicate texts: all pairs of like size, bounded by bitmaps, then exact.
 
-Texts are put in blocks in the order of their sizes, and blocks whose sizes' ratio allows the threshold meet: the bitmaps of
-every pair bound the overlap, and what is left is intersected exactly. No pair that reaches the threshold is left out, and the
-work grows with the square of the texts.
+Texts are put in blocks in the order of their sizes, and blocks whose sizes' ratio allows the threshold meet: numbers of kinds
+of sequences and then the bitmaps of every pair bound the overlap (see ``bands``), and what is left is intersected exactly. No
+pair that reaches the threshold is left out, and the work grows with the square of the texts.
 
 ``every=False`` only pairs texts that share an anchor: pairs of a text's twelve-character sequences that stand next to each
 other among those it is sampled by, and for short texts also of five-character ones. The same holds for every script, with
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.bands import banded_pairs
 from tidepool.llm.components import star_components
 from tidepool.llm.grams import ROWS, Frequent, anchors, checked, frequent, id_pairs, sampled, sizes, text_classes, unseen
-from tidepool.operators.blocks import Measure, candidates, trigram_keys
 from tidepool.runtime import Scratch
 
 THRESHOLD = 0.70
@@ -31,8 +31,6 @@ THRESHOLD = 0.70
 WIDTH, FEWEST, PART, SHARE = 12, 24, 10, 1 << 20
 #: Characters up to which a text is short, and what it is sampled by besides.
 SHORT, NARROW, FEW = 80, 5, 12
-#: The similarity, for comparing all pairs.
-MEASURE = Measure(lambda forms: [trigram_keys(forms)], (1.0,), (1024,))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -87,7 +85,7 @@ def near_classes(forms: DataFrame, scratch: Scratch, threshold: float = THRESHOL
     """(a, b, similarity): pairs of classes of different forms, a < b."""
     if every:
         reps = forms.select("cls", "form").dropDuplicates(["cls"])
-        return checked(scratch.save(candidates(reps, None, MEASURE, threshold, scratch, "cls", "form", first=(256,)), "pairs"), forms, threshold)
+        return checked(scratch.save(banded_pairs(reps, threshold, scratch, "cls", "form", forms), "pairs"), forms, threshold)
     known = frequent(forms, lambda texts: np.concatenate((sequences(texts)[1], sequences([t for t in texts if len(t) <= SHORT], NARROW)[1])), SHARE)
     posted = tiles(forms, known)
     a, b = (posted.select("anchor", F.col("cls").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
