@@ -219,6 +219,29 @@ def test_bands_leave_no_pair_out_and_little_to_bitmaps(times):
             assert times > 1 or (total <= limit).mean() < 0.1
 
 
+def test_texts_of_another_group_do_not_meet(monkeypatch):
+    """Two kinds of words, among them mixed texts: whole tiles are passed over and no pair is lost."""
+    monkeypatch.setattr(bands, "TILE", 64)
+    other = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+    texts = sentences(300, seed=6) + [t.translate(other) for t in sentences(300, seed=7)]
+    texts += [a[: len(a) // 2] + b[len(b) // 2 :] for a, b in zip(texts[:40], texts[300:340])]
+    row, key = bands.trigram_keys(texts)
+    sets = [set(key[row == k].tolist()) for k in range(len(texts))]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    assert len(want) > 100
+    keys, kind, top = bands.kinds(texts)
+    v = bands.numbers(row, key, len(texts), keys, kind)
+    centre, sums = bands.groups(v)
+    near = bands.unit(v.astype(np.float32)) @ centre.T
+    order = np.lexsort((near.max(axis=1), near.argmax(axis=1)))
+    level, maps = bands.levels(v, top), bands.parity(row, key, len(texts), bands.BITS)
+    block = bands.Block(*(c[order] for c in (v.sum(axis=1), v.astype(np.uint16), level, maps, bands.coarse(v, sums))))
+    met = {tuple(sorted((int(order[a]), int(order[b])))) for j, i in bands.alike(block, block, top, 0.7 - 1e-6, True) for a, b in zip(j, i)}
+    assert want <= met
+    rows = [len(bands.meeting(block, slice(k, k + 64), block, 0.7)) for k in range(0, len(texts), 64)]
+    assert np.mean(rows) < 0.8 * len(texts)
+
+
 def test_near_pairs_of_sentences_equal_brute_force(spark):
     rows = [(f"{k:04d}", t) for k, t in enumerate(sentences(400))]
     want = brute(rows)
