@@ -221,7 +221,7 @@ def test_bands_leave_no_pair_out_and_little_to_bitmaps(times):
 
 def test_texts_of_another_group_do_not_meet(monkeypatch):
     """Two kinds of words, among them mixed texts: whole tiles are passed over and no pair is lost."""
-    monkeypatch.setattr(bands, "TILE", 64)
+    monkeypatch.setattr("tidepool.operators.bands.TILE", 64)
     other = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
     texts = sentences(300, seed=6) + [t.translate(other) for t in sentences(300, seed=7)]
     texts += [a[: len(a) // 2] + b[len(b) // 2 :] for a, b in zip(texts[:40], texts[300:340])]

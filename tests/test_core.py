@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import scores, text
 from tidepool.functions.times import instant
 from tidepool.functions import calls
-from tidepool.operators import blocks, clusters, components, decisions, graph, proposals, review, similarity, validation, vectors
+from tidepool.operators import bands, blocks, clusters, components, decisions, graph, proposals, review, similarity, validation, vectors
 from tidepool.plans import catalog, cycle
 from tidepool.runtime import Scratch
 from tidepool.sources import store
@@ -138,6 +138,23 @@ def test_texts_of_common_words_make_few_candidates(spark):
         assert {(r.a, r.b) for r in split.collect()} == {p for p in met if p[0] < "0200" <= p[1]}
 
 
+def test_texts_of_short_words_lose_no_pair(spark):
+    """Texts of one-letter words have more words than the bound of kinds allows for, and meet the others all the same."""
+    rng = random.Random(4)
+    phrases = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(10)) for _ in range(8)]
+    texts = [" ".join(rng.sample(phrases, 3)) + " " + " ".join("".join(rng.choices("klmnopqrst", k=6)) for _ in range(6)) for _ in range(300)]
+    texts += [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60)) for _ in range(60)]
+    texts += [t + " " + " ".join(rng.choices("abcdefghij", k=12)) for t in texts[:60]] + [" ".join(t.split()[:-2]) for t in texts[300:360]] + ["", "x", "ab cd"]
+    sets = [(f"{i:04d}", similarity.features(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "lead string, t string")
+    like = bands.Like(0.70, (0.6, 0.4), lambda some: similarity._kinds(some)[::-1], similarity.WEIGHT)
+    n = np.array([[len(f[1]), len(f[0])] for _, f in sets])
+    assert 60 <= like.odd(bands.Block(n, None, None, n)).sum() < 200
+    want = {(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[k + 1 :] if round(similarity.combined(x, y), 6) >= 0.70}
+    met = {(r.a, r.b) for r in bands.banded_pairs(df, like, Scratch(spark, "t"), "lead", "t").collect()}
+    assert len(want) > 60 and any(j >= "0420" for _, j in want) and want <= met and len(met) < 4 * len(want) + 50
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, [0.9, 0.1]), (2, 0, [0.0, 1.0]), (3, 1, [1.0, 0.0])], "vec_id long, label int, embedding array<float>")
     near = {(r.vec_id, r.pos): r.nbr for r in vectors.nearest(v.where("vec_id = 0"), v, 2).collect()}

@@ -1,300 +1,3 @@
-"""Pairs of texts whose sets of three-character sequences may be alike: size bands, in which all pairs meet by tables.
+"""The bands of ``operators.bands``, which the near duplicates use."""
 
-Sequences are told apart by kinds, learned from some texts as those that mostly stand together. The numbers of sequences of
-each kind bound what one text has beyond another: with y sequences of a kind where the other has at most x, at least y - x
-are not in it. A text's numbers are levels, and a table holds what each text of a tile has beyond the levels of several kinds,
-so that a pair costs one addition of bytes for ``JOINT`` kinds. Texts of a block are in the order of groups, mostly languages:
-sums over the kinds that one group has more of than another bound what a whole tile has beyond a text or a text beyond it, and
-such a text doesn't meet the tile. What these bounds leave meets by bitmaps, see ``blocks``.
-Kinds that tell little make more work and lose no pair. The work grows with the square of the texts.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tidepool.operators.blocks import ROWS, bound, differing, parity, trigram_keys
-from tidepool.runtime import Scratch
-
-#: Kinds of sequences, the last one for those not learned; texts they are learned from at least, by their first characters, and sequences
-#: that are learned at most, the most frequent ones. These numbers bear on the work, not on the result.
-KINDS, LEARNED, FIRST, MOST = 64, 1500, 2000, 1 << 14
-#: Shares of the learned texts that have at most a level's number; kinds of a table; tables.
-LEVELS, JOINT = (0.3, 0.6, 0.85), 4
-TABLES = KINDS // JOINT
-#: Groups of texts.
-GROUPS = 6
-#: Texts of a block; smaller texts a table is made for and larger ones that meet them at a time.
-BLOCK, TILE, TURN = 16384, 512, 1024
-BITS = 1024
-#: Bits looked at first for each bit that may differ: unlike texts differ in half of them.
-LOOK = 2.5
-
-
-def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
-
-
-def groups(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(centre of each group, kinds that are summed for each pair of groups) from the numbers of some texts: k-means."""
-    v = v.astype(np.float32)
-    place = unit(v)
-    centre = place[:1]
-    while len(centre) < min(GROUPS, len(v)):
-        centre = np.concatenate((centre, place[[(place @ centre.T).max(axis=1).argmin()]]))
-    for _ in range(20):
-        own = (place @ centre.T).argmax(axis=1)
-        for k in range(len(centre)):
-            if (own == k).any():
-                centre[k] = place[own == k].sum(axis=0)
-        centre = unit(centre)
-    mean = [v[own == k].mean(axis=0) if (own == k).any() else np.zeros(KINDS, np.float32) for k in range(len(centre))]
-    sums = [x > y for x in mean for y in mean if x is not y and (x > y).any()]
-    return centre, np.unique(np.array(sums, np.float32).reshape(-1, KINDS), axis=0).T
-
-
-def coarse(v: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """The sums of each text, cut off where they don't fit the type."""
-    return np.minimum(v.astype(np.float64) @ sums, 65535).astype(np.uint16)
-
-
-def kinds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys in order, kind of each, greatest number of each level and kind): k-means over the directions in which the sequences'
-    presence varies most."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((len(LEVELS), KINDS), np.int64)
-    if len(texts) < 2:
-        return none
-    row, key = trigram_keys(texts)
-    known, at, count = np.unique(key, return_inverse=True, return_counts=True)
-    good = (count >= max(2, len(texts) // 500)) & (count < len(texts))
-    if good.sum() > MOST:
-        good[np.argsort(np.where(good, count, 0), kind="stable")[:-MOST]] = False
-    if good.sum() < 4 * KINDS:
-        return none
-    number = np.cumsum(good) - 1
-    seen = np.zeros((int(good.sum()), len(texts)), np.float32)
-    seen[number[at][good[at]], row[good[at]]] = 1
-    seen -= seen.mean(axis=1, keepdims=True)
-    seen /= np.linalg.norm(seen, axis=1, keepdims=True)
-    rng = np.random.default_rng(0)
-    base = rng.standard_normal((len(texts), min(KINDS, len(texts)))).astype(np.float32)
-    for _ in range(3):
-        base, _ = np.linalg.qr(seen.T @ (seen @ base))
-    place = seen @ base
-    place /= np.linalg.norm(place, axis=1, keepdims=True) + 1e-9
-    centre = place[rng.choice(len(place), KINDS - 1, replace=False)]
-    for _ in range(20):
-        kind = (place @ centre.T).argmax(axis=1)
-        for k in range(KINDS - 1):
-            if (own := kind == k).any():
-                centre[k] = place[own].sum(axis=0)
-        centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
-    v = numbers(row, key, len(texts), known[good], kind)
-    return known[good], kind, np.quantile(v, LEVELS, axis=0, method="higher").astype(np.int64)
-
-
-def numbers(row: np.ndarray, key: np.ndarray, rows: int, keys: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """How many sequences of each kind each text has."""
-    own = np.full(len(key), KINDS - 1)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        own = np.where(keys[at] == key, kind[at], own)
-    return np.bincount(row * KINDS + own, minlength=rows * KINDS).reshape(rows, KINDS)
-
-
-def levels(v: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """For each text and table, the levels of its kinds as one number. ``top``: the greatest number of each level and kind;
-    above the last one, nothing is known."""
-    level = np.zeros(v.shape, np.uint8)
-    for t in top:
-        level += v > t
-    return (level.reshape(len(v), TABLES, JOINT) << np.arange(0, 2 * JOINT, 2)).sum(axis=2).astype(np.uint8)
-
-
-def table(v: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """(level number, text): how many sequences each text has at least beyond a text of such levels; v: the numbers of the
-    kinds of one table, kinds first. A sum that doesn't fit the type comes out as less."""
-    out = np.zeros((1, v.shape[1]), v.dtype)
-    for k in range(JOINT):
-        own = np.zeros((len(top) + 1, v.shape[1]), v.dtype)
-        for at, t in enumerate(top[:, k]):
-            own[at] = np.where(v[k] > t, v[k] - np.minimum(t, v[k]), 0)
-        out = (own[:, None] + out[None]).reshape(-1, v.shape[1])
-    return out
-
-
-class Block:
-    """Texts of a block: sizes, numbers of each kind if tables are made of it, level numbers if it meets them, bitmaps, sums
-    over kinds."""
-
-    def __init__(self, n: np.ndarray, v: np.ndarray | None, level: np.ndarray | None, maps: np.ndarray, sums: np.ndarray | None = None):
-        self.n, self.v, self.level, self.maps, self.made = n.astype(np.int64), v, level, maps, {}
-        self.sums = (np.zeros((len(n), 0)) if sums is None else sums).astype(np.int32)
-
-    @classmethod
-    def of(cls, n: pa.Scalar, v: pa.Scalar | None, level: pa.Scalar | None, maps: pa.Scalar, sums: pa.Scalar) -> Block:
-        read = lambda x, kind, width: None if x is None else np.frombuffer(x.as_buffer(), kind).reshape(-1, width)
-        n = read(n, np.int32, 1)[:, 0]
-        return cls(n, read(v, np.uint16, KINDS), read(level, np.uint8, TABLES), read(maps, np.uint64, BITS // 64), np.frombuffer(sums.as_buffer(), np.uint16).reshape(len(n), -1))
-
-    def tables(self, low: int, top: np.ndarray, threshold: float) -> tuple[int, list[np.ndarray]]:
-        """Tables of the tile from ``low`` on, made once. The first one also counts how much less than the most, which is
-        given too, a text may have beyond one of no size."""
-        if low not in self.made:
-            share, tile = threshold / (1 + threshold), slice(low, low + TILE)
-            room = np.floor((1 - share) * self.n[tile] + 1e-6).astype(np.int64)
-            most = int(room.max())
-            kind = np.uint8 if most - share * threshold * self.n[tile].min() < 250 and most - room.min() < 255 else np.uint16
-            cap = np.iinfo(kind).max  # numbers are cut off there, and tell less
-            v, level = np.ascontiguousarray(np.minimum(self.v[tile], cap).astype(kind).T), np.minimum(top, cap).astype(kind)
-            out = [table(v[k : k + JOINT], level[:, k : k + JOINT]) for k in range(0, KINDS, JOINT)]
-            out[0] = out[0] + np.minimum(most - room, cap).astype(kind)
-            self.made[low] = most, out
-        return self.made[low]
-
-
-def meeting(y: Block, tile: slice, x: Block, threshold: float) -> np.ndarray:
-    """Which texts of x may be like some text of the tile, by their sizes and sums."""
-    share, n = threshold / (1 + threshold), y.n[tile]
-    may = (x.n >= threshold * n.min() - 1e-6) & (x.n <= n.max() / threshold + 1e-6)
-    if y.sums.shape[1]:
-        sums = y.sums[tile]
-        room = np.floor((1 - share) * n.max() - share * x.n + 1e-6).astype(np.int32), np.floor((1 - share) * x.n - share * n.min() + 1e-6).astype(np.int32)
-        for k, (low, high) in enumerate(zip(sums.min(axis=0), sums.max(axis=0))):
-            may &= (low - x.sums[:, k] <= room[0]) & (x.sums[:, k] - high <= room[1])
-    return np.flatnonzero(may)
-
-
-def alike(y: Block, x: Block, top: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(j, i): pairs of a text of y and one of x that the bounds leave; j < i of one block."""
-    share, spare = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)  # of both sizes together: what is common at least, what differs at most
-    words = min(BITS // 64, int(np.ceil(LOOK * spare * (x.n.max() + y.n.max()) / 64)))
-    rows, (fx, fy) = merged(x.maps, words), (np.ascontiguousarray(merged(b.maps, words).T) for b in (x, y))
-    mx, my = (spare * b.n + 1e-6 for b in (x, y))
-    for low in range(0, len(y.n), TILE):
-        tile = slice(low, min(low + TILE, len(y.n)))
-        n, met = y.n[tile], meeting(y, tile, x, threshold)
-        if same:
-            met = met[met > low]
-        if not len(met):
-            continue
-        most, tables = y.tables(low, top, threshold)
-        kind, limit = tables[0].dtype, np.floor(most - share * x.n[met] + 1e-6).astype(np.int64) + 1
-        cap = np.iinfo(kind).max
-        flags = np.empty(-(-TURN * len(n) // 8) * 8, bool)
-        sum_, more = np.empty((TURN, len(n)), kind), np.empty((TURN, len(n)), kind)
-        for at in range(0, len(met), TURN):
-            some = met[at : at + TURN]
-            level, count = x.level[some].T.astype(np.intp), len(some)
-            total, part = sum_[:count], more[:count]
-            np.take(tables[0], level[0], axis=0, out=total, mode="clip")
-            for k in range(1, TABLES):
-                np.take(tables[k], level[k], axis=0, out=part, mode="clip")
-                np.add(total, part, out=total)
-            own = limit[at : at + count]
-            np.less_equal(total, np.clip(own, 0, cap).astype(kind)[:, None], out=flags[: total.size].reshape(total.shape))
-            flags[total.size :] = False
-            if np.count_nonzero(flags) > total.size // 16:  # the kinds tell little here
-                d = differing(rows[some], fy[:, tile])
-                flags[: total.size] &= (d <= min(int(mx[some].max() + my[tile].max()), np.iinfo(d.dtype).max)).ravel()
-            eight = np.flatnonzero(flags.view(np.uint64) != 0)
-            if not len(eight):
-                continue
-            one = np.flatnonzero(np.take(flags.view(np.uint64), eight).view(bool))
-            near = 8 * eight[one >> 3] + (one & 7)
-            i = near // len(n)
-            j = near - i * len(n) + low
-            i = some[i]
-            if same:
-                i, j = i[j < i], j[j < i]
-            d = np.zeros(len(i), np.uint16)
-            for wx, wy in zip(fx, fy):
-                d += np.bitwise_count(wx[i] ^ wy[j])
-            left = np.flatnonzero(d <= mx[i] + my[j])
-            i, j = i[left], j[left]
-            reach = bound(x.n[i] + y.n[j], np.bitwise_count(x.maps[i] ^ y.maps[j]).sum(axis=1, dtype=np.int64)) >= threshold
-            if reach.any():
-                yield j[reach], i[reach]
-
-
-def merged(maps: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps of so many words, each of which several words fold on; what differs less in them differs less in the whole."""
-    out = maps[:, :words].copy()
-    for k in range(words, maps.shape[1]):
-        out[:, k % words] ^= maps[:, k]
-    return out
-
-
-def banded_pairs(rows: DataFrame, threshold: float, scratch: Scratch, id_col: str, text_col: str, some: DataFrame | None = None) -> DataFrame:
-    """(a, b): pairs of different ids, a < b, whose texts may reach the threshold by the bounds. Ids are distinct; texts
-    without a sequence, and null ones, are in no pair. ``some``: what kinds are learned from, if not the rows."""
-    kind = rows.schema[id_col].dataType.simpleString()
-    threshold -= 1e-6  # for rounding
-    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = (rows if some is None else some).where(F.col(text_col).isNotNull())
-    base = base.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, base.count() // LEARNED))) == 0)
-    learned = [r[0] for r in base.select(F.substring(text_col, 1, FIRST)).collect()]
-    keys, kind_of, top = kinds(learned)
-    centre, sums = groups(numbers(*trigram_keys(learned), len(learned), keys, kind_of)) if learned else (np.zeros((1, KINDS), np.float32), np.zeros((KINDS, 0), np.float32))
-
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        binary = lambda a: pa.Array.from_buffers(pa.binary(a.shape[1] * a.itemsize), len(a), [None, pa.py_buffer(np.ascontiguousarray(a).tobytes())]).cast(pa.binary())
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4 * ROWS):
-                part = batch.slice(at, 4 * ROWS)
-                row, key = trigram_keys(part.column(1).to_pylist())
-                v = numbers(row, key, part.num_rows, keys, kind_of)
-                n, maps = v.sum(axis=1).astype(np.int32), parity(row, key, part.num_rows, BITS)
-                keep = np.flatnonzero(n > 0)
-                columns = [binary(a[keep]) for a in (np.minimum(v, 65535).astype(np.uint16), levels(v, top), maps)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(n[keep]), *columns], ["id", "n", "v", "level", "map"])
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def block(rows: pa.Table) -> pa.RecordBatch:
-            v = np.frombuffer(b"".join(rows["v"].to_pylist()), np.uint16).reshape(-1, KINDS)
-            near = unit(v.astype(np.float32)) @ centre.T
-            order = np.lexsort((near.max(axis=1), near.argmax(axis=1)))
-            rows, v = rows.take(pa.array(order)), v[order]
-            n = rows["n"].to_numpy()
-            columns = [pa.array([[int(n.min()), int(n.max())]], pa.list_(pa.int32())), pa.array([rows["id"].to_pylist()], pa.list_(rows["id"].type))]
-            columns += [pa.array([a.tobytes()], pa.binary()) for a in (n.astype(np.int32), v, coarse(v, sums))]
-            return pa.RecordBatch.from_arrays(columns + [pa.array([b"".join(rows[c].to_pylist())], pa.binary()) for c in ("level", "map")], ["n", "ids", "sizes", "v", "sums", "levels", "maps"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            while sum(b.num_rows for b in held) >= BLOCK:
-                all_ = pa.Table.from_batches(held)
-                yield block(all_.slice(0, BLOCK))
-                held = all_.slice(BLOCK).to_batches()
-        if held:
-            yield block(pa.Table.from_batches(held))
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None  # of the same block, which comes several times in a row, the tables stay
-        for batch in batches:
-            for at, ids_y, n_y, v_y, maps_y, sums_y, ids_x, n_x, level_x, maps_x, sums_x, same in zip(*(batch.column(i) for i in range(12))):
-                if last != at.as_py():
-                    last, held = at.as_py(), Block.of(n_y, v_y, None, maps_y, sums_y)
-                found = list(alike(held, Block.of(n_x, None, level_x, maps_x, sums_x), top, threshold, same.as_py()))
-                if found:
-                    j, i = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([ids_y.values.take(pa.array(j)), ids_x.values.take(pa.array(i))], ["a", "b"])
-
-    signed = scratch.save(texts.mapInArrow(sign, f"id {kind}, n int, v binary, level binary, map binary"), "signed")  # ranges are drawn from a sample, which would make the bitmaps twice
-    parts = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    ordered = signed.repartitionByRange(parts, "n").sortWithinPartitions("n").mapInArrow(pack, f"n array<int>, ids array<{kind}>, sizes binary, v binary, sums binary, levels binary, maps binary")
-    y = scratch.save(ordered.withColumn("at", F.monotonically_increasing_id()), "blocks")
-    scratch.drop(signed)
-    x = y.select(*(F.col(c).alias(f"{c}_x") for c in ("at", "n", "ids", "sizes", "sums", "levels", "maps"))).hint("shuffle_replicate_nl")
-    near = (F.col("n")[1] >= threshold * F.col("n_x")[0] - 1e-6) & (F.col("n_x")[1] >= threshold * F.col("n")[0] - 1e-6) & (F.col("at") <= F.col("at_x"))
-    met = y.join(x, near).select("at", "ids", "sizes", "v", "maps", "sums", "ids_x", "sizes_x", "levels_x", "maps_x", "sums_x", (F.col("at") == F.col("at_x")).alias("same"))
-    pairs = met.mapInArrow(meet, f"a {kind}, b {kind}").where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+from tidepool.operators.bands import BITS, Block, Like, alike, banded_pairs, coarse, groups, kinds, levels, meeting, numbers, parity, trigram_keys, unit  # noqa: F401

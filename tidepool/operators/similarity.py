@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.operators.bands import Like, banded_pairs
 from tidepool.operators.blocks import Measure, candidates, trigram_keys
 from tidepool.runtime import Scratch
 
@@ -40,6 +41,8 @@ def _kinds(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 #: The combined measure, for comparing all pairs.
 MEASURE = Measure(_kinds, (0.4, 0.6), (128, 1024))
+#: Sequences that a word counts as, where texts of one table meet.
+WEIGHT = 3
 
 
 @F.pandas_udf(T.DoubleType())
@@ -65,13 +68,21 @@ def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_co
 def near_classes(classes: DataFrame, threshold: float, scratch: Scratch, others: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity): pairs of the classes (lead, t) of different texts that reach the threshold, by their leads; with
     ``others`` a of the one and b of the other classes. The classes are read several times."""
-    # above 0.6 + 0.4 / 2 few texts have words enough in common for another look
-    pairs = scratch.save(candidates(classes, others, MEASURE, threshold, scratch, "lead", "t", first=(128, 0 if threshold > 0.8 else 256)), "pairs")
+    if others is None:
+        like = Like(threshold, (0.6, 0.4), lambda texts: _kinds(texts)[::-1], WEIGHT)
+        pairs = scratch.save(banded_pairs(classes, like, scratch, "lead", "t"), "pairs")
+    else:
+        pairs = _met(classes, others, threshold, scratch)
     first, second = classes.select(F.col("lead").alias("a"), F.col("t").alias("ta")), (classes if others is None else others).select(F.col("lead").alias("b"), F.col("t").alias("tb"))
     full = pairs.join(first, "a").join(second, "b")
     return full.select("a", "b", F.round(combined_similarity("ta", "tb"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _met(classes: DataFrame, others: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    # above 0.6 + 0.4 / 2 few texts have words enough in common for another look
+    return scratch.save(candidates(classes, others, MEASURE, threshold, scratch, "lead", "t", first=(128, 0 if threshold > 0.8 else 256)), "pairs")
+
+
 def best_matches(new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
     """(id, match, similarity): for each new text (id, text) the most similar stored one of another id that reaches the
     threshold (above 0.6), ties to the smaller id. Each different text is compared once, whatever its copies."""
