@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import bands, bytebpe, components, crosssplit, forest, grams, langs, leaks, lookalikes, neardup, pii, survivor
 from tidepool.llm.textform import consistent
+from tidepool.operators.bands import KINDS
 from tidepool.runtime import Scratch
 
 BASE = "Ship the parcel from Varenholt to Quilmora before Thursday because the ledger of Brimsworth lost nineteen rows and Tavelock rebuilt them slowly"
@@ -248,6 +249,30 @@ def test_near_pairs_of_sentences_equal_brute_force(spark):
     assert len(want) > 50 and {tuple(r) for r in neardup.near_pairs(table(spark, rows), Scratch(spark, "t")).collect()} == want
 
 
+def test_bounded_pairs_are_intersected_at_once(spark):
+    """Pairs that the bitmaps left aren't signed and bounded again: one step in Python, the same pairs and similarities."""
+    rows = [(f"{k:04d}", t) for k, t in enumerate(sentences(200))]
+    forms = grams.text_classes(table(spark, rows), Scratch(spark, "t"))
+    near = neardup.near_classes(forms, Scratch(spark, "t"))
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    pairs = near.select("a", "b")
+    assert sorted(near.collect()) == sorted(grams.checked(pairs, forms, 0.7).collect()) and near.count() > 30
+
+
+def test_kinds_are_looked_up_as_by_search():
+    """Also keys that share a slot, and unknown ones."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    kind = rng.integers(0, KINDS - 1, len(keys))
+    asked = np.concatenate((keys, keys[::3] + np.uint64(1), rng.integers(0, 1 << 63, 2000).astype(np.uint64)))
+    row = np.sort(rng.integers(0, 9, len(asked)))
+    known = dict(zip(keys.tolist(), kind.tolist()))
+    want = np.zeros((9, KINDS), int)
+    for r, k in zip(row.tolist(), asked.tolist()):
+        want[r, known.get(k, KINDS - 1)] += 1
+    assert (bands.numbers(row, asked, 9, keys, kind) == want).all()
+
+
 def test_bound_is_never_below_the_overlap():
     texts = [t for _, t in variants() if t and len(t) > 20]
     size, maps = grams.signatures(texts)

@@ -85,7 +85,7 @@ def near_classes(forms: DataFrame, scratch: Scratch, threshold: float = THRESHOL
     """(a, b, similarity): pairs of classes of different forms, a < b."""
     if every:
         reps = forms.select("cls", "form").dropDuplicates(["cls"])
-        return checked(scratch.save(banded_pairs(reps, threshold, scratch, "cls", "form", forms), "pairs"), forms, threshold)
+        return checked(scratch.save(banded_pairs(reps, threshold, scratch, "cls", "form", forms), "pairs"), forms, threshold, bounded=True)
     known = frequent(forms, lambda texts: np.concatenate((sequences(texts)[1], sequences([t for t in texts if len(t) <= SHORT], NARROW)[1])), SHARE)
     posted = tiles(forms, known)
     a, b = (posted.select("anchor", F.col("cls").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")

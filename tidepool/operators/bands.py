@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators.blocks import ROWS, bound, differing, parity, trigram_keys
+from tidepool.operators.blocks import _MIX, ROWS, bound, differing, parity, trigram_keys
 from tidepool.runtime import Scratch
 
 #: Kinds of sequences, the last one for those not learned; texts they are learned from at least, by their first characters, and sequences
 #: that are learned at most, the most frequent ones. These numbers bear on the work, not on the result.
 KINDS, LEARNED, FIRST, MOST = 64, 1500, 2000, 1 << 14
+#: Directions in which the learned sequences are told apart; slots of each learned one by which it is looked up.
+DIRECTIONS, SLOTS = 128, 16
 #: Shares of the learned texts that have at most a level's number; kinds of a table; tables.
 LEVELS, JOINT = (0.3, 0.6, 0.85), 4
 TABLES = KINDS // JOINT
@@ -117,19 +119,19 @@ def kinds(texts: list[str], like: Like | float = 0.0) -> tuple[np.ndarray, np.nd
     seen = np.zeros((int(good.sum()), len(texts)), np.float32)
     seen[number[at][good[at]], row[good[at]]] = 1
     seen -= seen.mean(axis=1, keepdims=True)
-    seen /= np.linalg.norm(seen, axis=1, keepdims=True)
+    vary = np.einsum("ij,ij->i", seen, seen)[:, None]  # what varies more bears on more pairs, and weighs as much
     rng = np.random.default_rng(0)
-    base = rng.standard_normal((len(texts), min(KINDS, len(texts)))).astype(np.float32)
+    base = rng.standard_normal((len(texts), min(DIRECTIONS, len(texts)))).astype(np.float32)
     for _ in range(3):
         base, _ = np.linalg.qr(seen.T @ (seen @ base))
     place = seen @ base
     place /= np.linalg.norm(place, axis=1, keepdims=True) + 1e-9
     centre = place[rng.choice(len(place), KINDS - 1, replace=False)]
-    for _ in range(20):
+    for _ in range(12):
         kind = (place @ centre.T).argmax(axis=1)
         for k in range(KINDS - 1):
             if (own := kind == k).any():
-                centre[k] = place[own].sum(axis=0)
+                centre[k] = (vary[own] * place[own]).sum(axis=0)
         centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
     v = like.numbers(found, len(texts), known[good], kind)
     return known[good], kind, np.quantile(v, LEVELS, axis=0, method="higher").astype(np.int64)
@@ -139,8 +141,18 @@ def numbers(row: np.ndarray, key: np.ndarray, rows: int, keys: np.ndarray, kind:
     """How many sequences of each kind each text has."""
     own = np.full(len(key), KINDS - 1)
     if len(keys):
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        own = np.where(keys[at] == key, kind[at], own)
+        shift = np.uint64(64 - (SLOTS * len(keys)).bit_length())
+        place = (keys * _MIX >> shift).astype(np.int64)
+        slot = np.full(1 << (64 - int(shift)), -1, np.int32)
+        slot[place] = np.arange(len(keys))
+        late = np.setdiff1d(np.arange(len(keys)), slot)  # those whose slot another one has
+        slot[place[late]] = -2
+        at = slot[(key * _MIX >> shift).astype(np.int64)]
+        some = np.flatnonzero(at == -2)
+        at[some] = np.minimum(np.searchsorted(keys, key[some]), len(keys) - 1)
+        some = np.flatnonzero(at >= 0)
+        some = some[keys[at[some]] == key[some]]
+        own[some] = kind[at[some]]
     return np.bincount(row * KINDS + own, minlength=rows * KINDS).reshape(rows, KINDS)
 
 
@@ -174,6 +186,7 @@ class Block:
         self.n, self.more, self.v, self.level, self.maps, self.made = np.ascontiguousarray(sizes[:, 0]), sizes[:, 1:].sum(axis=1), v, level, maps, {}
         self.unit_of: dict[int, int] = {}  # as a power of two
         self.sums = (np.zeros((len(n), 0)) if sums is None else sums).astype(np.int32)
+        self.bounds: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def of(cls, n: pa.Scalar, v: pa.Scalar | None, level: pa.Scalar | None, maps: pa.Scalar, sums: pa.Scalar, like: Like) -> Block:
@@ -181,6 +194,12 @@ class Block:
         n = read(n, np.int32, len(like.shares))
         return cls(n, read(v, np.uint16, KINDS), read(level, np.uint8, TABLES), read(maps, np.uint64, like.words[-1]), np.frombuffer(sums.as_buffer(), np.uint16).reshape(len(n), -1))
 
+    def rooms(self, like: Like) -> tuple[np.ndarray, np.ndarray]:
+        """Each sum of each text without the text's need, and without its room; made once for a threshold."""
+        if like.threshold not in self.bounds:
+            self.bounds[like.threshold] = np.ceil(self.sums.T - like.need(self)).astype(np.int32, "C"), np.floor(self.sums.T - like.room(self)).astype(np.int32, "C")
+        return self.bounds[like.threshold]
+
     def tables(self, low: int, top: np.ndarray, like: Like | float) -> tuple[int, list[np.ndarray]]:
         """Tables of the tile from ``low`` on, made once. The first one also counts how much less than the most, which is
         given too, a text may have beyond one of no size. Those of two sorts of features count in units of ``unit_of``."""
@@ -213,9 +232,11 @@ def meeting(y: Block, tile: slice, x: Block, like: Like | float) -> np.ndarray:
     may = (x.n >= least * n.min() - 1e-6) & (x.n * least <= n.max() + 1e-6)
     if y.sums.shape[1] and not like.odd(y)[tile].any():
         sums, near = y.sums[tile], np.ones(len(may), bool)
-        room = np.floor(like.room(y)[tile].max() - like.need(x) + 1e-6).astype(np.int32), np.floor(like.room(x) - like.need(y)[tile].min() + 1e-6).astype(np.int32)
-        for k, (low, high) in enumerate(zip(sums.min(axis=0), sums.max(axis=0))):
-            near &= (low - x.sums[:, k] <= room[0]) & (x.sums[:, k] - high <= room[1])
+        over, under = x.rooms(like)  # a text passes with over >= low - most and under <= high - least; both are rounded in its favour
+        most, needed = like.room(y)[tile].max(), like.need(y)[tile].min()
+        for k, (low, high) in enumerate(zip(np.floor(sums.min(axis=0) - most - 1e-6), np.ceil(sums.max(axis=0) - needed + 1e-6))):
+            near &= over[k] >= np.int32(low)
+            near &= under[k] <= np.int32(high)
         may &= near | odd
     return np.flatnonzero(may)
 
@@ -224,8 +245,11 @@ def alike(y: Block, x: Block, top: np.ndarray, like: Like | float, same: bool) -
     """(j, i): pairs of a text of y and one of x that the bounds leave; j < i of one block."""
     like = Like.of(like)
     spare = like.spare / like.slope[0]  # of both sizes together, what differs at most
-    words = 4 if like.weight else min(BITS // 64, int(np.ceil(LOOK * spare * (x.n.max() + y.n.max()) / 64)))
-    rows, (fx, fy) = merged(x.maps[:, : BITS // 64], words), (np.ascontiguousarray(merged(b.maps[:, : BITS // 64], words).T) for b in (x, y))
+    words = 4
+    while not like.weight and words < BITS // 64 and words * 64 < LOOK * spare * (x.n.max() + y.n.max()):
+        words *= 2
+    rows, rows_y = (merged(b.maps[:, : BITS // 64], words) for b in (x, y))
+    fx, fy = (np.ascontiguousarray(b.T) for b in (rows, rows_y))
     other, (ox, oy) = x.maps[:, BITS // 64 :], (np.ascontiguousarray(b.maps[:, BITS // 64 :].T) for b in (x, y))
     mx, my = (spare * b.n + 1e-6 for b in (x, y))
     need, odd_x, odd_y = like.need(x), like.odd(x), like.odd(y)
@@ -260,7 +284,7 @@ def alike(y: Block, x: Block, top: np.ndarray, like: Like | float, same: bool) -
                 parts = (c / (int(a[some].max()) + int(b[tile].max())) for c, a, b in zip(like.slope, (x.n, x.more), (y.n, y.more)))
                 cost = sum(differing(a[some], b[:, tile]) * np.float32(c) for c, a, b in zip(parts, (rows, other), (fy, oy)))
                 small &= cost <= like.spare + 1e-4
-            elif not like.weight and found > total.size // 16:  # the kinds tell little here
+            elif not like.weight and found > total.size // 3:  # the kinds tell little here
                 d = differing(rows[some], fy[:, tile])
                 flags[: total.size] &= (d <= min(int(mx[some].max() + my[tile].max()), np.iinfo(d.dtype).max)).ravel()
             eight = np.flatnonzero(flags.view(np.uint64) != 0)
@@ -279,12 +303,14 @@ def alike(y: Block, x: Block, top: np.ndarray, like: Like | float, same: bool) -
                 left = np.flatnonzero(rest >= 0)
                 i, j, at_most = i[left], j[left], rest[left] / like.slope[0]
                 at_most *= x.n[i] + y.n[j]
-            else:
-                at_most = mx[i] + my[j]
-            d = np.zeros(len(i), np.uint16)
-            for wx, wy in zip(fx, fy):
-                d += np.bitwise_count(wx[i] ^ wy[j])
-            left = np.flatnonzero(d <= at_most)
+                d = np.zeros(len(i), np.uint16)
+                for wx, wy in zip(fx, fy):
+                    d += np.bitwise_count(wx[i] ^ wy[j])
+                left = np.flatnonzero(d <= at_most)
+            else:  # one limit for all, and then each pair's own
+                d = ones(np.take(rows, i, axis=0), np.take(rows_y, j, axis=0))
+                left = np.flatnonzero(d <= int(mx[some].max() + my[tile].max()))
+                left = left[d[left] <= mx[i[left]] + my[j[left]]]
             i, j = i[left], j[left]
             sizes = (x.n[i] + y.n[j], x.more[i] + y.more[j])
             reach = sum(w * bound(size, np.bitwise_count(x.maps[i, a:b] ^ y.maps[j, a:b]).sum(axis=1, dtype=np.int64)) for w, size, a, b in zip(like.shares, sizes, like.words, like.words[1:])) >= like.threshold
@@ -292,6 +318,16 @@ def alike(y: Block, x: Block, top: np.ndarray, like: Like | float, same: bool) -
                 yield j[reach], i[reach]
 
 
+def ones(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which each row of x differs from the row of y, of a multiple of four words. Four words that differ in all bits
+    count as none, which lets the pair through."""
+    np.bitwise_xor(x, y, out=x)
+    four = np.bitwise_count(x).view(np.uint32)
+    four *= np.uint32(0x01010101)
+    four >>= np.uint32(24)
+    return sum(four[:, k] for k in range(four.shape[1]))
+
+
 def merged(maps: np.ndarray, words: int) -> np.ndarray:
     """Bitmaps of so many words, each of which several words fold on; what differs less in them differs less in the whole."""
     out = maps[:, :words].copy()
