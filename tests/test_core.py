@@ -282,6 +282,23 @@ def test_online_check_and_best_matches(spark):
     assert decisions.online_check(new.where("false"), stored).count() == 0
 
 
+def test_write_check_reads_each_text_once_and_shuffles_no_text_at_the_end(spark):
+    """Rows read anew for every use may differ, and their shuffles all take disk."""
+    read = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    new = spark.createDataFrame([(f"n{k}", f"{base} {k}") for k in range(40)], "id string, text string").mapInArrow(once, "id string, text string")
+    stored = spark.createDataFrame([("s", base), ("t", f"{base} 7")], "id string, text string")
+    got = decisions.online_check(new, stored)
+    assert "hashpartitioning(t" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.action for r in got.collect()} == {"SKIP"} and read.value == 40
+
+
 def test_validation(spark):
     held = [("q1", "the quick brown fox jumps over the lazy dog"), ("q2", "a totally different sentence about boats"), ("q3", "short")]
     rows = [*held, ("r1", "the quick brown fox jumps over a lazy dog"), ("r2", "nothing like it at all, my friend")]

@@ -12,6 +12,7 @@ from tidepool.functions.text import key_nouns
 from tidepool.operators.similarity import best_matches, combined_similarity
 from tidepool.operators.vectors import cosine_distance
 from tidepool.functions.text import text_hash
+from tidepool.runtime import Scratch
 
 
 def recalls(log: DataFrame) -> DataFrame:
@@ -55,9 +56,13 @@ def contradictions(rows: DataFrame, opposed: Sequence[tuple[str, str]], id_col:
 
 def online_check(new: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, action): SKIP a new text (id, text) whose hash a stored one (id, text) has or that is 0.92 similar to one, MERGE
-    it from 0.85 on, else ADD it. Stored rows of the same id don't count; null texts don't come out."""
-    h = stored.where("text is not null").groupBy(text_hash(F.col("text")).alias("h")).agg(F.min("id").alias("one"), F.max("id").alias("other"))
-    rows = new.where("text is not null").select("id", "text", text_hash(F.col("text")).alias("h")).join(h, "h", "left")
+    it from 0.85 on, else ADD it. Stored rows of the same id don't count; null texts don't come out. Both are read once, so that
+    of an id delivered with several texts one is looked at."""
+    scratch = Scratch(new.sparkSession, "check")
+    new, stored = (scratch.save(df.where("text is not null").select("id", "text"), name) for df, name in ((new, "new"), (stored, "stored")))
+    scratch.sweep()
+    h = stored.groupBy(text_hash(F.col("text")).alias("h")).agg(F.min("id").alias("one"), F.max("id").alias("other"))
+    rows = new.select("id", text_hash(F.col("text")).alias("h")).join(h, "h", "left")
     known = F.coalesce((F.col("one") != F.col("id")) | (F.col("other") != F.col("id")), F.lit(False))
     rows = rows.select("id", known.alias("known")).join(best_matches(new, stored, 0.85), "id", "left")
     return rows.select("id", F.when(F.col("known") | (F.col("similarity") >= 0.92), "SKIP").when(F.col("similarity") >= 0.85, "MERGE").otherwise("ADD").alias("action"))

@@ -79,8 +79,11 @@ def near_classes(classes: DataFrame, threshold: float, scratch: Scratch, others:
 
 
 def _met(classes: DataFrame, others: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    blocks = Scratch(classes.sparkSession, "blocks")
     # above 0.6 + 0.4 / 2 few texts have words enough in common for another look
-    return scratch.save(candidates(classes, others, MEASURE, threshold, scratch, "lead", "t", first=(128, 0 if threshold > 0.8 else 256)), "pairs")
+    pairs = scratch.save(candidates(classes, others, MEASURE, threshold, blocks, "lead", "t", first=(128, 0 if threshold > 0.8 else 256)), "pairs")
+    blocks.clear()
+    return pairs
 
 
 def best_matches(new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
@@ -91,10 +94,10 @@ def best_matches(new: DataFrame, stored: DataFrame, threshold: float) -> DataFra
     scratch = Scratch(new.sparkSession, "matches")
     classes = both.groupBy("t").agg(F.sha2("t", 256).alias("lead"), F.max("new").alias("has_new"), F.max(~F.col("new")).alias("has_stored"))
     classes = scratch.save(classes, "classes")
+    scratch.sweep()
     near = near_classes(classes.where("has_new"), threshold, scratch, classes.where("has_stored"))
     same = classes.where("has_new and has_stored and t <> ''").select(F.col("lead").alias("a"), F.col("lead").alias("b"), F.lit(1.0).alias("similarity"))
-    x = low(new, "id").join(classes.select("t", F.col("lead").alias("a")), "t").select("id", "a")
-    y = low(stored, "match").join(classes.select("t", F.col("lead").alias("b")), "t").select("match", "b")
+    x, y = (low(df, name).select(name, F.sha2("t", 256).alias(lead)) for df, name, lead in ((new, "id", "a"), (stored, "match", "b")))  # no text travels
     # of a class of stored copies the two smallest ids are enough: one of them isn't the new id itself
     y = y.groupBy("b").agg(F.min("match").alias("one"), F.max("match").alias("other"))
     met = x.join(near.unionByName(same), "a").join(y, "b").select("id", "similarity", F.when(F.col("one") != F.col("id"), F.col("one")).otherwise(F.nullif("other", "id")).alias("match")).where("match is not null")
