@@ -118,6 +118,31 @@ def test_similar_texts_equal_brute_force(spark):
     assert {("a", "b"), ("a", "g")} <= set(got) or not {("a", "b"), ("a", "g")} <= set(want)
 
 
+def copied_texts():
+    """Texts of which some are alike, with copies: of the first and of the later of two alike, and of texts too short to be like anything."""
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    texts = [base, base + " xi", base.upper() + " XI", base + " xi", base, "something else entirely", "ok", "ok", "   ", "   ", "", "", None, "Something else entirely", base.replace("mu", "nu"), base + " xi omikron pi"]
+    return [(f"{i:02d}", t) for i, t in enumerate(texts)] + [("99", base + " xi omikron pi")]
+
+
+def similar_pairs(rows, threshold):
+    """All pairs with their similarity, one by one."""
+    sets = [(i, similarity.features(t)) for i, t in rows if t is not None]
+    return {(i, j): s for n, (i, x) in enumerate(sets) for j, y in sets[n + 1 :] if (s := round(similarity.combined(x, y), 6)) >= threshold}
+
+
+def test_copies_join_the_leader_that_their_text_joins(spark, tmp_path):
+    rows = copied_texts()
+    near = similar_pairs(rows, 0.70)
+    leader = {}
+    for x in sorted({i for p in near for i in p}):
+        leader[x] = next((o for o in sorted(leader) if leader[o] == o and (o, x) in near), x)
+    assert leader["02"] == leader["03"] == leader["04"] == leader["99"] == "00" and leader["13"] == "05" and not {"06", "07", "08", "09"} & set(leader)
+    spark.createDataFrame([(i, t, "s") for i, t in rows], "id string, text string, session_id string").write.parquet(f"{tmp_path}/dream_memory.parquet")
+    got = [tuple(r) for r in cycle.QUERIES["leader_clusters"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(leader) and dict(got) == leader
+
+
 def test_texts_of_common_words_make_few_candidates(spark):
     rng = random.Random(3)
     phrases = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(12)) for _ in range(6)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.text import text_hash
 from tidepool.operators.components import components, leaders
-from tidepool.operators.similarity import similar_texts
+from tidepool.operators.similarity import text_classes
 from tidepool.runtime import Scratch
 
 
@@ -35,6 +35,14 @@ def cascade(rows: DataFrame, patterns: Sequence[str], id_col: str = "id", text_c
     return keyed.where("topic <> ''").select("id", F.concat(F.lit("topic_"), "topic").alias("cluster")).unionByName(rest.join(twins, "h", "left").select("id", label.alias("cluster")))
 
 
+def text_leaders(rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(id, leader): the ``leaders`` of all pairs of rows (id, text) whose texts reach the threshold, without making the pairs of
+    copies: a text's smallest id comes first and is linked with whatever its copies are, so they join what it joins, or it."""
+    near, copies = text_classes(rows, threshold, scratch)
+    led = leaders(near.select("a", "b"), scratch).withColumnRenamed("id", "lead")
+    return led.join(copies, "lead", "full").select(F.coalesce("id", "lead").alias("id"), F.coalesce("leader", "lead").alias("leader"))
+
+
 def full_cascade(rows: DataFrame, patterns: Sequence[str], close: DataFrame | None, scratch: Scratch, similarity: float = 0.70) -> DataFrame:
     """(id, cluster): each row (id, text) goes to the first phase it fits: its topic key (``topic_``), an equal text
     (``exact_``, two rows at least), a component of close vectors (``vec_`` and its smallest id, two rows at least), the first
@@ -50,6 +58,6 @@ def full_cascade(rows: DataFrame, patterns: Sequence[str], close: DataFrame | No
         vec = scratch.save(components(inside, scratch).select("id", F.concat(F.lit("vec_"), "root").alias("cluster")), "vec")
         done, rest = done.unionByName(vec), rest.join(vec, "id", "left_anti")
     texts = rows.select("id", "text").dropDuplicates(["id"]).join(rest, "id", "left_semi")
-    led = leaders(similar_texts(texts, similarity), scratch)
+    led = text_leaders(texts, similarity, scratch)
     alone = rest.join(led, "id", "left").select("id", F.concat(F.lit("sim_"), F.coalesce("leader", "id")).alias("cluster"))
     return done.unionByName(alone)

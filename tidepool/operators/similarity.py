@@ -57,12 +57,21 @@ def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_co
     All pairs of different texts are compared by the bitmaps of their words and trigrams, see ``blocks``. Equal texts are
     compared once. Texts without words reach nothing.
     """
-    scratch = Scratch(rows.sparkSession, "texts")
-    classes = scratch.save(rows.where(F.col(text_col).isNotNull()).groupBy(F.lower(text_col).alias("t")).agg(F.min(id_col).alias("lead"), F.count("*").alias("copies")), "classes")
-    near = near_classes(classes, threshold, scratch)
-    twins = classes.where("copies > 1").select(F.col("lead").alias("a"), F.sha2("t", 256).alias("h"), F.lit(1.0).alias("similarity"))
-    members = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("b"), F.sha2(F.lower(text_col), 256).alias("h"))
-    return near.unionByName(twins.join(members, "h").where("a <> b").select("a", "b", "similarity"))
+    near, copies = text_classes(rows, threshold, Scratch(rows.sparkSession, "texts"), id_col, text_col)
+    return near.unionByName(copies.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def text_classes(rows: DataFrame, threshold: float, scratch: Scratch, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((a, b, similarity), (lead, id)): pairs of different texts that reach the threshold (above 0.6), each by the smallest id
+    that has it, a < b; and the ids of each text that several have, the smallest too. A text without words or without
+    trigrams doesn't even reach itself: its copies are in neither. The rows are read once."""
+    rows = scratch.save(rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("t")), "rows")
+    classes = scratch.save(rows.groupBy("t").agg(F.min("id").alias("lead"), F.count("*").alias("copies")), "classes")
+    twins = classes.where("copies > 1").where(F.round(combined_similarity("t", "t"), 6) >= threshold).select("lead", F.sha2("t", 256).alias("h"))
+    copies = scratch.save(rows.select("id", F.sha2("t", 256).alias("h")).join(twins, "h").select("lead", "id").distinct(), "copies")
+    scratch.drop(rows)
+    scratch.sweep()
+    return near_classes(classes, threshold, scratch), copies
 
 
 def near_classes(classes: DataFrame, threshold: float, scratch: Scratch, others: DataFrame | None = None) -> DataFrame:
