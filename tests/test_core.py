@@ -143,6 +143,15 @@ def test_copies_join_the_leader_that_their_text_joins(spark, tmp_path):
     assert len(got) == len(leader) and dict(got) == leader
 
 
+def test_merge_decision_of_every_pair_of_copies(spark, tmp_path):
+    rows = copied_texts()
+    want = {(*p, s, "dedup" if s >= 0.92 else "merge") for p, s in similar_pairs([r for r in rows if r[1] and len(r[1]) > 20], 0.85).items()}
+    assert {w[3] for w in want} == {"dedup", "merge"} and {("02", "03"), ("03", "04"), ("15", "99")} <= {w[:2] for w in want}
+    spark.createDataFrame(rows, "id string, text string").write.parquet(f"{tmp_path}/dream_memory.parquet")
+    got = [tuple(r) for r in cycle.QUERIES["merge_decision"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_texts_of_common_words_make_few_candidates(spark):
     rng = random.Random(3)
     phrases = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(12)) for _ in range(6)]

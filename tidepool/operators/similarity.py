@@ -52,13 +52,22 @@ def combined_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def similar_texts(rows: DataFrame, threshold: float, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(a, b, similarity): pairs of different ids, a < b, whose texts reach the threshold (above 0.6).
+    """(a, b, similarity): all pairs of different ids, a < b, whose texts reach the threshold (above 0.6).
 
     All pairs of different texts are compared by the bitmaps of their words and trigrams, see ``blocks``. Equal texts are
-    compared once. Texts without words reach nothing.
+    compared once, and then each of their ids is paired with each. Texts without words or without trigrams reach nothing.
     """
     near, copies = text_classes(rows, threshold, Scratch(rows.sparkSession, "texts"), id_col, text_col)
-    return near.unionByName(copies.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    x, y = (copies.select(F.col("lead").alias(lead), F.col("id").alias(name)) for lead, name in (("a", "x"), ("b", "y")))
+    apart = near.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "similarity")
+    same = x.join(y, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    return apart.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def text_links(rows: DataFrame, threshold: float, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(a, b): links of the same components as the pairs of ``similar_texts``, copies of a text with its smallest id only."""
+    near, copies = text_classes(rows, threshold, Scratch(rows.sparkSession, "texts"), id_col, text_col)
+    return near.select("a", "b").unionByName(copies.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")))
 
 
 def text_classes(rows: DataFrame, threshold: float, scratch: Scratch, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
