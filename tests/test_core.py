@@ -152,6 +152,24 @@ def test_merge_decision_of_every_pair_of_copies(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_text_pairs_of_every_id(spark, tmp_path):
+    """Copies are paired with each other and with what is like their text, whichever id is smaller; links of them have the same components."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(400)]
+    texts = [" ".join(rng.sample(words, 14)) for _ in range(8)]
+    texts += [f"{t} {words[k]}" for k, t in enumerate(texts[:5])]
+    texts = [t.upper() if rng.random() < 0.3 else t for t in texts for _ in range(rng.randrange(1, 5))] + ["ok"] * 3 + [" " * 30] * 3 + [None]
+    ids = rng.sample(range(1000), len(texts))
+    rows = sorted((f"{i:03d}", t) for i, t in zip(ids, texts))
+    want = similar_pairs([r for r in rows if r[1] and len(r[1]) > 20], 0.85)
+    spark.createDataFrame(rows, "id string, text string").repartition(3).write.parquet(f"{tmp_path}/dream_memory.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["text_pairs"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 40 and set(got) == {(*p, s) for p, s in want.items()}
+    df = spark.createDataFrame(rows, "id string, text string")
+    by_links, by_pairs = ({tuple(r) for r in components.components(x, Scratch(spark, "t")).collect()} for x in (similarity.text_links(df, 0.85), spark.createDataFrame(list(want), "a string, b string")))
+    assert by_links == by_pairs
+
+
 def test_texts_of_common_words_make_few_candidates(spark):
     rng = random.Random(3)
     phrases = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(12)) for _ in range(6)]
